@@ -40,7 +40,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "contaminated", "items", "matched")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op5_mixing, op8_decontamination)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrapane.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op5_mixing, op8_decontamination, op10_near_duplicates)}
 
 _W = r"[^\x20\x09-\x0D]+"
 

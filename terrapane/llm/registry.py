@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from terrapane.llm.common import documents
@@ -20,6 +22,22 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary(vocabulary_path("byte_bpe_50k.tiktoken")))
 
 
+def tokens_written(docs: DataFrame) -> DataFrame:
+    """Write the token files of `docs` to the shared folder and read them back."""
+    from terrapane.llm.common import shared_dir
+    from terrapane.llm.token_files import read_tokens, write_tokens
+
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    with open(vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        write_tokens(docs, path, f.read())
+    return read_tokens(spark, path)
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_written(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrapane.llm.quality_rules import quality_rules
 
@@ -33,6 +51,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrapane.llm.lm_scoring import score
+
+    return score(documents(spark, sf_dir))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrapane.llm.decontaminate import decontaminated
 
@@ -46,7 +70,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op5_mixing, op8_decontamination, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op4_quality_rules, op5_mixing, op6_lm_scoring, op8_decontamination, op10_near_duplicates)}
 
 _W = r"[^\x20\x09-\x0D]+"
 

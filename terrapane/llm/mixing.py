@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import SPACES, release, staged
+from terrapane.llm.common import SPACES, staged
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -60,14 +60,31 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     have equal hashes and are taken together.  A source's taken words differ from its
     target by half the words of one hash value at most.  Empty tables give no rows.
     """
-    sized = staged(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), hash36(doc_id).alias("h")), "mix")
-    made, goal = thresholds(sized, weights, cap)
-    taken = F.floor("whole").cast("long") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
-    out = sized.join(F.broadcast(made) if goal <= 10_000 else made, F.col("source").eqNullSafe(F.col("_source")))
-    out = out.withColumn("copies", F.least(taken, F.lit(cap).cast("long"))).withColumn("taken", F.col("copies") * F.col("size"))
+    sized = _sized(docs, doc_id, source, text)
+    made, n = thresholds(sized, weights, cap)
+    out = _copies(sized, made, n, cap).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The rows of `docs` that the mix takes, each as often as it takes them.  The texts aren't shuffled."""
+    made, n = thresholds(_sized(docs, doc_id, source, text), weights, cap)
+    named = docs.withColumns({"_h": hash36(doc_id), "_src": F.col(source)})
+    out = _copies(named, made, n, cap, "_h", "_src", "_copies").filter("_copies > 0")
+    return out.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+
+
+def _sized(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
+    return staged(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), hash36(doc_id).alias("h")), "mix")
+
+
+def _copies(rows: DataFrame, made: DataFrame, n: int, cap: int, h: str = "h", source: str = "source", name: str = "copies") -> DataFrame:
+    """`rows` with their source's threshold and the number of copies.  The thresholds have a row for each source, and are broadcast while there are few."""
+    made = F.broadcast(made) if n <= 10_000 else made
+    more = F.when(F.col(h) < F.col("_below"), 1).otherwise(0)
+    return rows.join(made, F.col(source).eqNullSafe(F.col("_source"))).withColumn(name, F.least(F.col("_whole") + more, F.lit(cap)).cast("long"))
+
+
 def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> tuple[DataFrame, int]:
     """For each source: whole copies of each document, and the hash below which there is one more; and how many sources."""
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -96,13 +113,13 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
         if level < LEVELS - 1:
             # without an edge all fit: a prefix that no hash has, and everything below it is taken
             state = s.select("_source", "source_size", "target", "whole", more.alias("left"), F.coalesce(F.col("edge.bucket"), (F.col("prefix") + 1) * F.lit(1 << BITS)).alias("prefix"))
-            old, state = state, staged(state, "mix-goals")
-            del old
+            state = staged(state, "mix-goals")
         else:
             nearer = F.col("edge").isNotNull() & ((F.col("edge.words") - more) <= more)
             below = F.when(F.col("edge").isNull(), (F.col("prefix") + 1) * F.lit(1 << BITS)).otherwise(F.col("edge.bucket") + nearer.cast("long"))
             state = s.select("_source", "source_size", "target", "whole", below.alias("below"))
-    return staged(state, "mix-goals"), n
+    made = state.withColumnsRenamed({"whole": "_whole", "below": "_below"})
+    return staged(made, "mix-goals"), n
 
 
-__all__ = ["hash36", "mix", "n_words", "release", "targets", "thresholds"]
+__all__ = ["hash36", "mix", "mixed", "n_words", "targets", "thresholds"]

@@ -9,7 +9,7 @@ the longer text's words; the alignment runs in a band of that width.
 
 Exact copies are one node from the start.  In a bucket of equal sketches everyone
 is compared with the smallest node; who matches none goes on to a next round among
-the rest, with four times as many such hubs, until nobody is left.  So the work
+the rest, with 32 times as many such hubs, until nobody is left.  So the work
 follows members times different texts in a bucket and not the square of a group,
 and no list of a bucket's members is ever built.  Classes are the connected nodes.
 """
@@ -126,23 +126,26 @@ def _code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root (the smallest node it is connected with) of every node in links (a, b)."""
-    both = staged(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a"))), "edges")
-    roots = staged(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")), "roots")
-    total = F.sum(F.col("root").cast("decimal(38,0)"))
-    before = roots.agg(total).collect()[0][0]
-    while before is not None:
-        near = both.join(roots, both.v == roots.node).groupBy("u").agg(F.min("root").alias("near"))
-        own = roots.join(near, roots.node == near.u, "left").select("node", F.least("root", "near").alias("root"))
-        far = roots.select(F.col("node").alias("at"), F.col("root").alias("far"))
-        now = staged(own.join(far, own.root == far["at"], "left").select("node", F.least("root", "far").alias("root")), "roots")
-        release(roots)
-        roots, after = now, now.agg(total).collect()[0][0]
-        if after == before:
-            break
-        before = after
-    release(both)
-    return roots
+    """node and root (the smallest node it is connected with) of every node in links (a, b).
+
+    Every node goes to the smallest of itself and its neighbours, and the links that are left join those.  A group's
+    smallest node stays where it is, so that in the end the group is there; links to a common node go in one step.
+    """
+    edges, steps = staged(links.select("a", "b").distinct(), "edges"), []
+    while not steps or edges.take(1):
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
+        step = staged(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("root")), "roots")
+        steps.append(step)
+        ra, rb = step.select(F.col("node").alias("a"), F.col("root").alias("ra")), step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        left = edges.join(ra, "a").join(rb, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        before, edges = edges, staged(left, "edges")
+        release(before)
+    release(edges)
+    out = steps[-1]
+    for step in reversed(steps[:-1]):
+        further = out.select(F.col("node").alias("at"), F.col("root").alias("further"))
+        out = step.join(further, step.root == further["at"], "left").select("node", F.coalesce("further", "root").alias("root"))
+    return out
 
 
 def near_duplicates(
@@ -185,7 +188,7 @@ def near_duplicates(
         many = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
         rest = staged(open_.join(many, "key").select("node", "n", "key"), "buckets")
         spent += [meets, rest]
-        salts *= 4
+        salts *= 32
     if not links:
         roots = spark.createDataFrame([], "node long, root long")
     else:

@@ -118,7 +118,9 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     """
     added = ["t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_words", "_lines"]
     docs = docs.drop(*[c for c in added if c != text])
-    sample = base_columns(docs.select(text).limit(sample_rows), text).persist()
+    # take() reads no more partitions than it needs; limit() as part of a plan would read them all
+    taken = docs.sparkSession.createDataFrame(docs.select(text).take(sample_rows), docs.select(text).schema)
+    sample = base_columns(taken, text).persist()
     order = [r for r, _, _ in ordered(sample, rules)]
     sample.unpersist()
     out = base_columns(docs, text)

@@ -22,6 +22,13 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary(vocabulary_path("byte_bpe_50k.tiktoken")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrapane.llm.language_id import identify
+    from terrapane.llm.token_counts import vocabulary
+
+    return identify(documents(spark, sf_dir), vocabulary(vocabulary_path("byte_bpe_multi_50k.tiktoken")))
+
+
 def tokens_written(docs: DataFrame) -> DataFrame:
     """Write the token files of `docs` to the shared folder and read them back."""
     from terrapane.llm.common import shared_dir
@@ -57,6 +64,18 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrapane.llm.url_filter import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrapane.llm.quality_classifier import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrapane.llm.decontaminate import decontaminated
 
@@ -70,7 +89,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_token_files, op4_quality_rules, op5_mixing, op6_lm_scoring, op8_decontamination, op10_near_duplicates)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_language_id,
+        op3_token_files,
+        op4_quality_rules,
+        op5_mixing,
+        op6_lm_scoring,
+        op7_url_filter,
+        op8_decontamination,
+        op9_quality_classifier,
+        op10_near_duplicates,
+    )
+}
 
 _W = r"[^\x20\x09-\x0D]+"
 

@@ -30,8 +30,8 @@ def weighted_mean(cube: DataFrame, weights: DataFrame, names: Sequence[str], reg
     kept = out.dropna(subset=list(names))
     if not keep_zero or "zero_weight" not in weights.columns:
         return kept
-    # regions without weight have no rows among the kept ones: each gets one for each time
-    zero = weights.filter("zero_weight").select(region).distinct().join(weights.filter("NOT zero_weight").select(region).distinct(), region, "left_anti")
+    # regions without weights have no rows among the kept ones: each gets one for each time
+    zero = weights.filter("zero_weight AND weight IS NULL").select(region).distinct()
     times = cube.select("time").distinct()
     blanks = zero.crossJoin(small(times)).select(region, "time", *[F.lit(None).cast("double").alias(n) for n in names])
     return kept.unionByName(blanks)

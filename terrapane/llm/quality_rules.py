@@ -116,14 +116,16 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     rejected_by names one rule that holds; with several, which one depends on the order.
     Columns of `docs` named like the added ones are replaced.
     """
-    added = ["t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_words", "_lines"]
+    added = ["t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_words", "_lines", "_row"]
     docs = docs.drop(*[c for c in added if c != text])
     # take() reads no more partitions than it needs; limit() as part of a plan would read them all
     taken = docs.sparkSession.createDataFrame(docs.select(text).take(sample_rows), docs.select(text).schema)
     sample = base_columns(taken, text).persist()
     order = [r for r, _, _ in ordered(sample, rules)]
     sample.unpersist()
-    out = base_columns(docs, text)
+    # A filter on `kept` must not sink below the base columns: it would take copies of their expressions along and work out a
+    # text's words anew for every use.  It can't pass the row number, which is never below 0.
+    out = base_columns(docs, text).withColumn("_row", F.monotonically_increasing_id())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order)))
-    return out.withColumn("kept", F.col("rejected_by").isNull()).drop("t")
+    return out.withColumn("kept", F.col("rejected_by").isNull() & (F.col("_row") >= 0)).drop("t", "_row")

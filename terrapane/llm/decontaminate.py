@@ -35,6 +35,12 @@ def _exploded(df: DataFrame, words: str, at: str) -> DataFrame:
     return starts.withColumn("seed", F.explode(_seeds(words, at)))
 
 
+def _cut(hits: DataFrame) -> DataFrame:
+    """Hits with the words under the item only: a long text with many hits isn't copied whole for each."""
+    under = F.expr("slice(words, greatest(lie, 0) + 1, size(item) + least(lie, 0))")
+    return hits.select("doc_id", "text_key", "item_id", "item", "lie", under.alias("under"))
+
+
 def overlap(doc_words: str, item_words: str, lies: str, window: int) -> Column:
     """The most equal words in `window` neighbouring ones, where the item's word t lies over the document's word t + lies."""
     n = f"size({item_words})"
@@ -68,7 +74,7 @@ def contamination(
     bench = _exploded(items, "item", "at").select("seed", "item_id", "item", "at").distinct()
     probes = _exploded(d, "words", "p")
     if bench.count() <= broadcast_seeds:
-        hits = probes.join(F.broadcast(bench), "seed").withColumn("same", overlap("words", "item", "(p - at)", window))
+        hits = _cut(probes.join(F.broadcast(bench), "seed").withColumn("lie", F.col("p") - F.col("at")))
     else:
         # only places travel; the words come back for distinct lies of an item over a text
         lies = probes.select("seed", "doc_id", "text_key", "p").join(bench.select("seed", "item_id", "at", F.xxhash64("item").alias("item_key")), "seed")
@@ -76,8 +82,8 @@ def contamination(
         named = items.select(F.col("item_id").alias("i"), F.xxhash64("item").alias("k"), "item")
         lies = lies.join(named, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_key") == F.col("k"))).drop("i", "k")
         texts = d.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "words")
-        hits = lies.join(texts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")))
-        hits = hits.withColumn("same", overlap("words", "item", "lie", window))
+        hits = _cut(lies.join(texts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))))
+    hits = hits.withColumn("same", overlap("under", "item", "least(lie, 0)", window))
     # By item first: its many hits become one row in the task that found them.  The threshold comes after: before, the optimiser
     # would move it into the join, whose rows would then be built for every seed and not just for hits.
     part = F.col("same") / F.least(F.lit(window), F.size("item"))

@@ -2,16 +2,18 @@
 
 A text is its words.  Its five-word k-mers are labelled with their occurrence (the
 second time the same k-mer counts as another one), each of several hash functions
-picks the `ordered` smallest, and they are kept in the order in which they stand in
-the text.  Equal sketches make candidates; so texts meet that share much, in the
+picks the smallest two, and they are kept in the order in which they stand in the
+text.  Equal sketches make candidates; so texts meet that share much, in the
 same order.  A candidate holds if the word-level edit distance is at most 0.2 of
 the longer text's words; the alignment runs in a band of that width.
 
 Exact copies are one node from the start.  In a bucket of equal sketches everyone
-is compared with the smallest node; who matches none goes on to a next round among
-the rest, with 32 times as many such hubs, until nobody is left.  So the work
-follows members times different texts in a bucket and not the square of a group,
-and no list of a bucket's members is ever built.  Classes are the connected nodes.
+is compared with the smallest node; who doesn't match it goes on with a sketch twice
+as long, which unrelated texts that share a passage don't have in common for long.
+So each round compares a member once, the work follows the number of texts and not
+the square of a group, and no list of a bucket's members is ever built.  Whoever is
+left with the longest sketch is compared with 32 times as many hubs a round, until
+nobody is.  Classes are the connected nodes.
 """
 
 from __future__ import annotations
@@ -69,33 +71,44 @@ def kmers(hashes: np.ndarray, first: np.ndarray, k: int = K) -> tuple[np.ndarray
     return out, at
 
 
-def sketches(hashes: np.ndarray, first: np.ndarray, functions: int, ordered: int, k: int = K) -> np.ndarray:
-    """A row for each text with one 64-bit key for each hash function; rows of texts without words mean nothing."""
+def sketches(hashes: np.ndarray, first: np.ndarray, functions: int, lengths: tuple[int, ...], k: int = K) -> np.ndarray:
+    """For each text the keys by sketch length and hash function, a row of len(lengths) * functions; rows of texts without words mean nothing."""
     labelled, at = kmers(hashes, first, k)
     n = len(first) - 1
-    out = np.zeros((n, functions), np.uint64)
-    full = np.flatnonzero(at[1:] > at[:-1])
+    out = np.zeros((n, len(lengths), functions), np.uint64)
+    count = np.diff(at)
+    full = np.flatnonzero(count)
     if not len(full):
-        return out
-    begin = at[:-1][full]
-    text = np.repeat(np.arange(len(full)), np.diff(np.append(begin, at[-1])))
-    top = np.uint64(2**64 - 1)
+        return out.reshape(n, len(lengths) * functions)
+    text = np.repeat(np.arange(n), count)
+    most = max(lengths)
+    # only values below a bound can be among the smallest: four times as many as are needed are, on average
+    bound = np.where(count <= 4 * most, 1.0, 4 * most / np.maximum(count, 1))
+    bound = np.minimum(bound * 2.0**64, 2.0**64 - 2049).astype(np.uint64)
+    bound[count <= 4 * most] = np.uint64(2**64 - 1)
+    limit = bound[text]
+    padded = np.append(labelled, np.uint64(0))
     for f in range(functions):
         v = labelled * (mix64(np.array([2 * f + 1], np.uint64))[0] | np.uint64(1))
-        where = np.full((len(full), ordered), len(v), np.int64)
-        for o in range(ordered):
-            least = np.minimum.reduceat(v, begin)
-            hits = np.flatnonzero(v == least[text])
-            hits = hits[v[hits] != top]
-            where[text[hits][::-1], o] = hits[::-1]
-            v[hits] = top
-        where.sort(axis=1)
-        found = np.append(labelled, np.uint64(0))[where]
-        key = np.full(len(full), f, np.uint64)
-        for o in range(ordered):
-            key = mix64(key * _STEP + found[:, o])
-        out[full, f] = key
-    return out
+        near = v <= limit
+        few = np.flatnonzero(np.bincount(text[near], minlength=n) < np.minimum(most, count))
+        if len(few):
+            near |= np.isin(text, few)
+        near = np.flatnonzero(near)
+        near = near[np.lexsort((near, v[near], text[near]))]
+        t = text[near]
+        begin = np.searchsorted(t, np.arange(n))
+        rank = np.arange(len(t)) - begin[t]
+        where = np.full((n, most), len(v), np.int64)
+        kept = rank < most
+        where[t[kept], rank[kept]] = near[kept]
+        for i, length in enumerate(lengths):
+            found = padded[np.sort(where[:, :length], axis=1)]
+            key = np.full(n, f * 64 + i, np.uint64)
+            for o in range(length):
+                key = mix64(key * _STEP + found[:, o])
+            out[:, i, f] = key
+    return out.reshape(n, len(lengths) * functions)
 
 
 def codes(hashes: np.ndarray) -> bytes:
@@ -103,13 +116,13 @@ def codes(hashes: np.ndarray) -> bytes:
     return ((hashes >> np.uint64(44)).astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le").encode()
 
 
-def _sketch_rows(functions: int, ordered: int):
+def _sketch_rows(functions: int, lengths: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             w = Words(batch.column("text"))
-            keys = sketches(w.hashes(), w.first, functions, ordered).view(np.int64)
+            keys = sketches(w.hashes(), w.first, functions, lengths).view(np.int64)
             n = np.diff(w.first)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * functions), pa.array(keys.ravel()))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _nodes(batch.column("text")), pa.array(n), flat], ["doc_id", "node", "n", "keys"])
 
     return run
@@ -130,6 +143,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Every node goes to the smallest of itself and its neighbours, and the links that are left join those.  A group's
     smallest node stays where it is, so that in the end the group is there; links to a common node go in one step.
+    Nodes are hashes: along a chain they rise and fall at random, and rounds grow as the logarithm of its length.
     """
     edges, steps = staged(links.select("a", "b").distinct(), "edges"), []
     while not steps or edges.take(1):
@@ -148,8 +162,14 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
+def _shared(buckets: DataFrame) -> DataFrame:
+    """The rows whose key another row has too."""
+    many = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    return buckets.join(many, "key")
+
+
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, functions: int = 16, ordered: int = 2
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, functions: int = 16, lengths: tuple[int, ...] = (2, 4, 8, 16)
 ) -> DataFrame:
     """doc_id, class_id and kept of every row: class_id is the class's smallest id, kept says whether that is the row's own.
 
@@ -160,18 +180,17 @@ def near_duplicates(
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = staged(source.mapInArrow(_sketch_rows(functions, ordered), f"doc_id {kind}, node long, n long, keys array<long>"), "sketches")
+    rows = staged(source.mapInArrow(_sketch_rows(functions, lengths), f"doc_id {kind}, node long, n long, keys array<long>"), "sketches")
     ids = rows.select("doc_id", "node")
-    named = rows.filter("n > 0").select("node", "n", "keys").distinct()
-    buckets = named.select("node", "n", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-    rest = staged(buckets.join(shared, "key"), "buckets")
+    named = staged(rows.filter("n > 0").select("node", "n", "keys").distinct(), "nodes")
+    buckets = named.select("node", "n", F.posexplode(F.slice("keys", 1, functions)).alias("f", "key"))
+    rest = staged(_shared(buckets), "buckets")
     wanted = rest.select("node").distinct()
     enc = source.select("text").mapInArrow(_code_rows, "node long, enc string").join(wanted, "node", "left_semi").distinct()
     enc = staged(enc, "codes", "lz4")
     ea, eb = enc.select(F.col("node").alias("a"), F.col("enc").alias("ea")), enc.select(F.col("node").alias("b"), F.col("enc").alias("eb"))
     allowed = f"CAST(floor(greatest(na, nb) * CAST({round(1 - similarity, 9)} AS DECIMAL(10, 9))) AS INT)"
-    salts, links, spent = 1, [], [rest]
+    level, salts, links, spent = 0, 1, [], [named, rest]
     while rest.take(1):
         hubs = rest.groupBy("key", F.pmod("node", F.lit(salts)).alias("salt")).agg(F.min("node").alias("hub"))
         sized = rest.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
@@ -183,12 +202,16 @@ def near_duplicates(
         found = staged(pairs.join(ea, "a").join(eb, "b").filter(holds).select("a", "b"), "links")
         links.append(found)
         told = meets.withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")}).join(found.withColumn("ok", F.lit(1)), ["a", "b"], "left")
-        open_ = told.groupBy("key", "node", "n").agg(F.max(F.when((F.col("node") == F.col("hub")) | F.col("ok").isNotNull(), 1).otherwise(0)).alias("done"))
-        open_ = open_.filter("done = 0").drop("done")
-        many = open_.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
-        rest = staged(open_.join(many, "key").select("node", "n", "key"), "buckets")
+        left = told.groupBy("key", "node", "n", "f").agg(F.max(F.when((F.col("node") == F.col("hub")) | F.col("ok").isNotNull(), 1).otherwise(0)).alias("done"))
+        left = left.filter("done = 0").drop("done")
+        level += 1
+        if level < len(lengths):  # who shares a longer sketch with others stays
+            longer = F.element_at("keys", (F.lit(level * functions + 1) + F.col("f")).cast("int")).alias("key")
+            left = left.drop("key").join(named.select("node", "keys"), "node").select("node", "n", "f", longer)
+        else:
+            salts *= 32
+        rest = staged(_shared(left.select("node", "n", "f", "key")), "buckets")
         spent += [meets, rest]
-        salts *= 32
     if not links:
         roots = spark.createDataFrame([], "node long, root long")
     else:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ def classes(docs):
     """Smallest ids of the groups that edit similarity of at least 0.8 connects."""
     ids = [d for d, *_ in docs]
     words = [(t or "").encode().split() for _, t, *_ in docs]
+    bags = [Counter(w) for w in words]
     root = list(range(len(ids)))
 
     def find(x):
@@ -33,7 +35,8 @@ def classes(docs):
         for j in range(i):
             same = docs[i][1] is not None and docs[i][1] == docs[j][1]
             n = max(len(words[i]), len(words[j]))
-            if same or n >= 5 and abs(len(words[i]) - len(words[j])) * 5 <= n and 5 * distance(words[i], words[j]) <= n:
+            apart = n - sum((bags[i] & bags[j]).values())  # no alignment makes fewer changes
+            if same or n >= 5 and 5 * apart <= n and 5 * distance(words[i], words[j]) <= n:
                 root[find(i)] = find(j)
     out = {}
     for i, d in enumerate(ids):
@@ -83,11 +86,12 @@ def test_order_and_occurrences_count():
     assert len(set(labelled.tolist())) == len(labelled) == at[-1] == 11
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_components(spark, seed):
     r = random.Random(seed)
-    links = [(r.randrange(60), r.randrange(60)) for _ in range(35 + 10 * seed)] + [(i, i + 1) for i in range(200, 260)] + [(300, 300 + i) for i in range(1, 40)]
-    links = [(min(a, b), max(a, b)) for a, b in links if a != b]
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(35 + 25 * seed)] + [(i, i + 1) for i in range(200, 260)] + [(300, 300 + i) for i in range(1, 40)]
+    name = [r.getrandbits(62) for _ in range(400)]
+    links = [(min(name[a], name[b]), max(name[a], name[b])) for a, b in links if a != b]
     root = {}
 
     def find(x):

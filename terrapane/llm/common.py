@@ -33,14 +33,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def temporary_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends there, and losing executors costs nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = temporary_path(spark, tag)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
-    _MADE.append((spark, path))
     return out
 
 

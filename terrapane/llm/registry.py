@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from terrapane.llm.common import documents
@@ -31,11 +29,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens_written(docs: DataFrame) -> DataFrame:
     """Write the token files of `docs` to the shared folder and read them back."""
-    from terrapane.llm.common import shared_dir
+    from terrapane.llm.common import temporary_path
     from terrapane.llm.token_files import read_tokens, write_tokens
 
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "tokens")
     with open(vocabulary_path("byte_bpe_50k.json"), encoding="utf-8") as f:
         write_tokens(docs, path, f.read())
     return read_tokens(spark, path)

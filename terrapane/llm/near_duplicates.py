@@ -8,19 +8,18 @@ same order.  A candidate holds if the word-level edit distance is at most 0.2 of
 the longer text's words; the alignment runs in a band of that width.
 
 Exact copies are one node from the start.  In a bucket of equal sketches everyone
-is compared with the smallest node; who doesn't match it goes on with a sketch twice
-as long, which unrelated texts that share a passage don't have in common for long.
-So each round compares a member once, the work follows the number of texts and not
-the square of a group, and no list of a bucket's members is ever built.  Whoever is
-left with the longest sketch is compared with 32 times as many hubs a round, until
-nobody is.  Classes are the connected nodes.
+is first compared with the smallest node.  Then all pairs of a bucket that these
+links don't join already are compared, so that every pair of a bucket is either
+compared or in one class.  Two bounds that no alignment can beat leave out pairs
+before that: the lengths, and the parities of word counts (a change of a word
+changes two of them at most).  Large buckets are dealt out by salts.  Classes are
+the connected nodes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -116,14 +115,32 @@ def codes(hashes: np.ndarray) -> bytes:
     return ((hashes >> np.uint64(44)).astype("<u4") + np.uint32(0x10000)).tobytes().decode("utf-32-le").encode()
 
 
-def _sketch_rows(functions: int, lengths: tuple[int, ...]):
+#: Parities of word counts, by the word's hash, in words of 64 bits.
+PARITIES = 4
+_BITS = [f"p{i}" for i in range(PARITIES)]
+#: Members of a bucket that one task pairs with all others of it.
+SALTED = 256
+
+
+def parities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each text 64 * PARITIES bits: how many of its words fall to each, modulo 2."""
+    n, bins = len(first) - 1, 64 * PARITIES
+    text = np.repeat(np.arange(n), np.diff(first))
+    counts = np.bincount(text * bins + (hashes >> np.uint64(32)).astype(np.int64) % bins, minlength=n * bins)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(n, PARITIES)
+
+
+def _sketch_rows(functions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             w = Words(batch.column("text"))
-            keys = sketches(w.hashes(), w.first, functions, lengths).view(np.int64)
+            h = w.hashes()
+            keys = sketches(h, w.first, functions, (2,)).view(np.int64)
             n = np.diff(w.first)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _nodes(batch.column("text")), pa.array(n), flat], ["doc_id", "node", "n", "keys"])
+            bits = parities(h, w.first)
+            columns = [batch.column("doc_id"), _nodes(batch.column("text")), pa.array(n), *[pa.array(bits[:, i].copy()) for i in range(PARITIES)], flat]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *_BITS, "keys"])
 
     return run
 
@@ -163,60 +180,67 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _shared(buckets: DataFrame) -> DataFrame:
-    """The rows whose key another row has too."""
-    many = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key")
+    """The rows whose key another row has too, with the number of such rows as m."""
+    many = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     return buckets.join(many, "key")
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, functions: int = 16, lengths: tuple[int, ...] = (2, 4, 8, 16)
-) -> DataFrame:
+def _near(similarity: float) -> tuple[str, str]:
+    """SQL of the changes allowed between l and r, and of the bounds on lengths and parities that hold for pairs within them."""
+    most = f"CAST(floor(greatest(l.n, r.n) * CAST({round(1 - similarity, 9)} AS DECIMAL(10, 9))) AS INT)"
+    apart = " + ".join(f"bit_count(l.{p} ^ r.{p})" for p in _BITS)
+    return most, f"abs(l.n - r.n) <= {most} AND {apart} <= 2 * {most}"
+
+
+def _held(pairs: DataFrame, enc: DataFrame) -> DataFrame:
+    """The pairs (a, b, most, ...) with at most `most` changes."""
+    ea, eb = enc.select(F.col("node").alias("a"), F.col("enc").alias("ea")), enc.select(F.col("node").alias("b"), F.col("enc").alias("eb"))
+    holds = "levenshtein(ea, eb, most div 4) >= 0 OR levenshtein(ea, eb, most) >= 0"
+    return pairs.join(ea, "a").join(eb, "b").filter(holds).drop("ea", "eb", "most")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, functions: int = 16) -> DataFrame:
     """doc_id, class_id and kept of every row: class_id is the class's smallest id, kept says whether that is the row's own.
 
     Texts are equal if their bytes are; other texts are compared by their words.  Empty texts are copies of
     each other; white space alone never matches other texts.  A null text is a class of its own.  Rows with
     one id are one document, and stay or go together; a row without an id stays.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = staged(source.mapInArrow(_sketch_rows(functions, lengths), f"doc_id {kind}, node long, n long, keys array<long>"), "sketches")
+    schema = f"doc_id {kind}, node long, n long, {', '.join(f'{p} long' for p in _BITS)}, keys array<long>"
+    rows = staged(source.mapInArrow(_sketch_rows(functions), schema), "sketches")
     ids = rows.select("doc_id", "node")
-    named = staged(rows.filter("n > 0").select("node", "n", "keys").distinct(), "nodes")
-    buckets = named.select("node", "n", F.posexplode(F.slice("keys", 1, functions)).alias("f", "key"))
-    rest = staged(_shared(buckets), "buckets")
-    wanted = rest.select("node").distinct()
+    named = rows.filter("n > 0").select("node", "n", *_BITS, "keys").distinct()
+    shared = staged(_shared(named.select("node", "n", *_BITS, F.explode("keys").alias("key"))), "buckets")
+    wanted = shared.select("node").distinct()
     enc = source.select("text").mapInArrow(_code_rows, "node long, enc string").join(wanted, "node", "left_semi").distinct()
     enc = staged(enc, "codes", "lz4")
-    ea, eb = enc.select(F.col("node").alias("a"), F.col("enc").alias("ea")), enc.select(F.col("node").alias("b"), F.col("enc").alias("eb"))
-    allowed = f"CAST(floor(greatest(na, nb) * CAST({round(1 - similarity, 9)} AS DECIMAL(10, 9))) AS INT)"
-    level, salts, links, spent = 0, 1, [], [named, rest]
-    while rest.take(1):
-        hubs = rest.groupBy("key", F.pmod("node", F.lit(salts)).alias("salt")).agg(F.min("node").alias("hub"))
-        sized = rest.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")).distinct()
-        meets = staged(rest.join(hubs.select("key", "hub"), "key"), "meets")
-        pairs = meets.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        pairs = pairs.join(sized.withColumnsRenamed({"hub": "a", "hub_n": "na"}), "a").join(sized.withColumnsRenamed({"hub": "b", "hub_n": "nb"}), "b")
-        pairs = pairs.withColumn("most", F.expr(allowed)).filter("abs(na - nb) <= most").select("a", "b", "most")
-        holds = "levenshtein(ea, eb, most div 4) >= 0 OR levenshtein(ea, eb, most) >= 0"
-        found = staged(pairs.join(ea, "a").join(eb, "b").filter(holds).select("a", "b"), "links")
-        links.append(found)
-        told = meets.withColumns({"a": F.least("node", "hub"), "b": F.greatest("node", "hub")}).join(found.withColumn("ok", F.lit(1)), ["a", "b"], "left")
-        left = told.groupBy("key", "node", "n", "f").agg(F.max(F.when((F.col("node") == F.col("hub")) | F.col("ok").isNotNull(), 1).otherwise(0)).alias("done"))
-        left = left.filter("done = 0").drop("done")
-        level += 1
-        if level < len(lengths):  # who shares a longer sketch with others stays
-            longer = F.element_at("keys", (F.lit(level * functions + 1) + F.col("f")).cast("int")).alias("key")
-            left = left.drop("key").join(named.select("node", "keys"), "node").select("node", "n", "f", longer)
-        else:
-            salts *= 32
-        rest = staged(_shared(left.select("node", "n", "f", "key")), "buckets")
-        spent += [meets, rest]
-    if not links:
-        roots = spark.createDataFrame([], "node long, root long")
-    else:
-        roots = components(reduce(DataFrame.union, links))
-    for x in [*spent, enc, *links]:
+    most, bounds = _near(similarity)
+    hubs = shared.groupBy("key").agg(F.min(F.struct("node", "n", *_BITS)).alias("hub")).select("key", "hub.*")
+    met = shared.alias("l").join(hubs.alias("r"), F.expr(f"l.key = r.key AND r.node < l.node AND {bounds}"))
+    first = staged(met.select(F.col("r.node").alias("a"), F.col("l.node").alias("b"), F.expr(most).alias("most")).distinct(), "pairs")
+    links = staged(_held(first, enc), "links")
+    roots = components(links)
+    # what is left: pairs of a bucket from different classes
+    classed = shared.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("key")
+    classed = staged(classed.join(mixed, "key"), "mixed")
+    salts = F.ceil(F.col("m") / SALTED).cast("int")
+    left = classed.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    right = classed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    pairs = left.alias("l").join(right.alias("r"), F.expr(f"l.key = r.key AND l.salt = r.salt AND l.node < r.node AND l.class <> r.class AND {bounds}"))
+    pairs = pairs.select(
+        F.col("l.node").alias("a"), F.col("r.node").alias("b"), F.expr(most).alias("most"), F.least("l.class", "r.class").alias("ca"), F.greatest("l.class", "r.class").alias("cb")
+    )
+    pairs = pairs.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    further = staged(_held(pairs, enc).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links")
+    if further.take(1):
+        joined = components(further).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        # a class of one has no row in roots: it is its own root
+        alone = joined.select(F.col("root").alias("node"), "top").join(roots, "node", "left_anti").select("node", F.col("top").alias("root"))
+        roots = roots.join(joined, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(alone)
+    for x in [shared, enc, first, links, classed, further]:
         release(x)
     classed = ids.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
     smallest = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))

@@ -131,3 +131,29 @@ def test_sketches_are_the_smallest_in_order(n):
                 for x in [*picked, *[np.uint64(0)] * (length - len(picked))]:
                     key = mix64(key * np.uint64(0xD6E8FEB86659FD93) + x)
                 assert got[t, i, f] == key[0]
+
+
+def test_members_that_miss_the_hub_meet_each_other(spark):
+    """Every pair of a bucket counts, not just those with its smallest node: groups of copies of one text, each pair within 0.8 and no two groups."""
+    r = random.Random(5)
+    docs = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for c in range(3):  # edited at different places: 0.88 from the base, about 0.77 from each other
+            copy = list(base)
+            for k in r.sample(range(100), 12):
+                copy[k] = f"g{g}c{c}x{k}"
+            docs.append(" ".join(copy))
+            near = list(copy)
+            near[r.randrange(100)] = "other"
+            docs.append(" ".join(near))
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(docs)]
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(frame(spark, docs), functions=1).collect()}
+    keys = {}
+    for i, t, *_ in docs:
+        w = Words(pa.array([t]))
+        keys.setdefault(int(sketches(w.hashes(), w.first, 1, (2,))[0][0]), []).append(i)
+    words = [t.split() for _, t, *_ in docs]
+    pairs = [(a, b) for m in keys.values() for a in m for b in m if a < b and 5 * distance(words[a], words[b]) <= 100]
+    assert len(pairs) > 50
+    assert all(got[a] == got[b] for a, b in pairs)

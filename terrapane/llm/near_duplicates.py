@@ -1,8 +1,8 @@
 """Near-duplicates by order MinHash, verified by banded alignment.
 
-A text is its words.  Its five-word k-mers are labelled with their occurrence (the
-second time the same k-mer counts as another one), each of several hash functions
-picks the smallest two, and they are kept in the order in which they stand in the
+A text is its words.  Its three-word k-mers, and the two-word ones too if it is short,
+are labelled with their occurrence (the second time the same k-mer counts as another
+one), each of several hash functions picks the smallest two, and they are kept in the order in which they stand in the
 text.  Equal sketches make candidates; so texts meet that share much, in the
 same order.  A candidate holds if the word-level edit distance is at most 0.2 of
 the longer text's words; the alignment runs in a band of that width.
@@ -81,10 +81,10 @@ def sketches(hashes: np.ndarray, first: np.ndarray, functions: int, lengths: tup
         return out.reshape(n, len(lengths) * functions)
     text = np.repeat(np.arange(n), count)
     most = max(lengths)
-    # only values below a bound can be among the smallest: four times as many as are needed are, on average
-    bound = np.where(count <= 4 * most, 1.0, 4 * most / np.maximum(count, 1))
+    # only values below a bound can be among the smallest: eight times as many as are needed are, on average
+    bound = np.where(count <= 8 * most, 1.0, 8 * most / np.maximum(count, 1))
     bound = np.minimum(bound * 2.0**64, 2.0**64 - 2049).astype(np.uint64)
-    bound[count <= 4 * most] = np.uint64(2**64 - 1)
+    bound[count <= 8 * most] = np.uint64(2**64 - 1)
     limit = bound[text]
     padded = np.append(labelled, np.uint64(0))
     for f in range(functions):
@@ -92,7 +92,9 @@ def sketches(hashes: np.ndarray, first: np.ndarray, functions: int, lengths: tup
         near = v <= limit
         few = np.flatnonzero(np.bincount(text[near], minlength=n) < np.minimum(most, count))
         if len(few):
-            near |= np.isin(text, few)
+            again = np.zeros(n, bool)
+            again[few] = True
+            near |= again[text]
         near = np.flatnonzero(near)
         near = near[np.lexsort((near, v[near], text[near]))]
         t = text[near]
@@ -118,6 +120,8 @@ def codes(hashes: np.ndarray) -> bytes:
 #: Parities of word counts, by the word's hash, in words of 64 bits.
 PARITIES = 4
 _BITS = [f"p{i}" for i in range(PARITIES)]
+#: Words of a k-mer for candidates, and for those of texts of at most SHORT words besides.
+WIDE, NARROW, SHORT = 3, 2, 32
 #: Members of a bucket that one task pairs with all others of it.
 SALTED = 256
 
@@ -130,14 +134,30 @@ def parities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64).reshape(n, PARITIES)
 
 
+def candidate_keys(hashes: np.ndarray, first: np.ndarray, functions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sketches of all texts, one text's after another's, and how many each has: twice as many if it is short."""
+    n = np.diff(first)
+    short = np.flatnonzero(n <= SHORT)
+    wide = sketches(hashes, first, functions, (2,), WIDE)
+    own = np.repeat(n <= SHORT, n)
+    narrow = sketches(hashes[own], np.concatenate([[0], np.cumsum(n[short])]), functions, (2,), NARROW)
+    size = np.full(len(n), functions)
+    size[short] *= 2
+    begin = np.cumsum(size) - size
+    out = np.empty(size.sum(), np.uint64)
+    out[begin[:, None] + np.arange(functions)] = wide
+    out[begin[short][:, None] + functions + np.arange(functions)] = narrow
+    return out, size
+
+
 def _sketch_rows(functions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             w = Words(batch.column("text"))
             h = w.hashes()
-            keys = sketches(h, w.first, functions, (2,)).view(np.int64)
             n = np.diff(w.first)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+            keys, size = candidate_keys(h, w.first, functions)
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys.view(np.int64)))
             bits = parities(h, w.first)
             columns = [batch.column("doc_id"), _nodes(batch.column("text")), pa.array(n), *[pa.array(bits[:, i].copy()) for i in range(PARITIES)], flat]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *_BITS, "keys"])
@@ -199,7 +219,7 @@ def _held(pairs: DataFrame, enc: DataFrame) -> DataFrame:
     return pairs.join(ea, "a").join(eb, "b").filter(holds).drop("ea", "eb", "most")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, functions: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, functions: int = 40) -> DataFrame:
     """doc_id, class_id and kept of every row: class_id is the class's smallest id, kept says whether that is the row's own.
 
     Texts are equal if their bytes are; other texts are compared by their words.  Empty texts are copies of

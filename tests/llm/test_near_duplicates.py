@@ -1,3 +1,4 @@
+import inspect
 import random
 from collections import Counter
 
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from terrapane.llm.common import Words, mix64
-from terrapane.llm.near_duplicates import components, kmers, near_duplicates, sketches
+from terrapane.llm.near_duplicates import candidate_keys, components, kmers, near_duplicates, sketches
 from tests.llm.conftest import ODD, frame
 
 
@@ -152,8 +153,29 @@ def test_members_that_miss_the_hub_meet_each_other(spark):
     keys = {}
     for i, t, *_ in docs:
         w = Words(pa.array([t]))
-        keys.setdefault(int(sketches(w.hashes(), w.first, 1, (2,))[0][0]), []).append(i)
+        keys.setdefault(int(candidate_keys(w.hashes(), w.first, 1)[0][0]), []).append(i)
     words = [t.split() for _, t, *_ in docs]
     pairs = [(a, b) for m in keys.values() for a in m for b in m if a < b and 5 * distance(words[a], words[b]) <= 100]
     assert len(pairs) > 50
     assert all(got[a] == got[b] for a, b in pairs)
+
+
+@pytest.mark.parametrize("n", [8, 10, 12, 20, 40, 200])
+def test_pairs_at_the_threshold_become_candidates(n):
+    """Scattered substitutions of as many words as a similarity of 0.8 allows."""
+    r = random.Random(n)
+    texts = []
+    for i in range(1000):
+        base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        copy = list(base)
+        for k in r.sample(range(n), n // 5):
+            copy[k] = f"x{i}y{k}"
+        texts += [" ".join(base), " ".join(copy)]
+    w = Words(pa.array(texts))
+    functions = inspect.signature(near_duplicates).parameters["functions"].default
+    keys, size = candidate_keys(w.hashes(), w.first, functions)
+    at = np.concatenate([[0], np.cumsum(size)])
+    own = [set(keys[a:b].tolist()) for a, b in zip(at[:-1], at[1:])]
+    share = sum(bool(own[i] & own[i + 1]) for i in range(0, 2000, 2)) / 1000
+    print(n, share)
+    assert share >= 0.97

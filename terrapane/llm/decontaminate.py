@@ -1,6 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-A mask names six of eight neighbouring words; the others may differ.  Seeds of the
+A shape names five of up to eight neighbouring words; the others may differ.  Wherever
+the words lie that an item of eight words or more may lose (a fifth of a window of up
+to 13), one of the three shapes misses them all.  Seeds of the
 benchmark meet seeds of the documents in one equi-join, and each hit fixes how the
 item lies over the document.  There the words are compared position by position:
 the overlap counts if in some `window` neighbouring words of the item (the whole
@@ -14,9 +16,12 @@ from pyspark.sql import functions as F
 
 from terrapane.llm.quality_rules import words_of
 
+#: Shapes of weight five that, together, hit every placement of the changes allowed.
+SHAPES = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4))
+#: Texts and items of fewer words have no seeds.
 SPAN = 8
-#: Which of SPAN words each mask keeps.
-MASKS = ((0, 1, 2, 4, 5, 7), (0, 1, 3, 5, 6, 7), (0, 2, 3, 4, 6, 7))
+#: Where a shape can lie in SPAN words.
+MASKS = tuple(tuple(o + i for o in shape) for shape in SHAPES for i in range(SPAN - shape[-1]))
 #: Seeds of a benchmark of up to so many rows are broadcast; beyond it the join shuffles.
 BROADCAST_SEEDS = 300_000
 
@@ -27,12 +32,15 @@ def plain_words(text: str) -> Column:
 
 
 def _seeds(words: str, at: str) -> Column:
-    return F.array(*[F.expr(f"xxhash64({m}, {', '.join(f'{words}[{at} + {o}]' for o in mask)})") for m, mask in enumerate(MASKS)])
+    """A seed of each shape at a place; null where the shape goes beyond the last word."""
+    seeds = [f"CASE WHEN {at} + {shape[-1]} < size({words}) THEN xxhash64({m}, {', '.join(f'{words}[{at} + {o}]' for o in shape)}) END" for m, shape in enumerate(SHAPES)]
+    return F.array(*[F.expr(x) for x in seeds])
 
 
 def _exploded(df: DataFrame, words: str, at: str) -> DataFrame:
-    starts = df.filter(F.size(words) >= SPAN).withColumn(at, F.explode(F.expr(f"sequence(0, size({words}) - {SPAN})")))
-    return starts.withColumn("seed", F.explode(_seeds(words, at)))
+    least = min(shape[-1] for shape in SHAPES)
+    starts = df.filter(F.size(words) >= SPAN).withColumn(at, F.explode(F.expr(f"sequence(0, size({words}) - {least + 1})")))
+    return starts.withColumn("seed", F.explode(_seeds(words, at))).filter("seed IS NOT NULL")
 
 
 def _cut(hits: DataFrame) -> DataFrame:

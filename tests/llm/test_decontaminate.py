@@ -1,9 +1,10 @@
 import random
 import re
+from itertools import combinations
 
 import pytest
 
-from terrapane.llm.decontaminate import MASKS, SPAN, contamination, decontaminated
+from terrapane.llm.decontaminate import MASKS, SHAPES, SPAN, contamination, decontaminated
 from tests.llm.conftest import ODD, frame
 
 PUNCT = re.compile(r"[!-/:-@\[-`{-~]+")
@@ -67,3 +68,29 @@ def test_odd_tables(spark, odd, empty):
     assert decontaminated(empty, bench).count() == 0
     assert contamination(odd, bench.limit(0)).count() == 0
     assert decontaminated(odd, bench.limit(0)).count() == len(ODD)
+
+
+@pytest.mark.parametrize("n", range(8, 14))
+def test_seeds_hit_all_changes_the_rule_allows(n):
+    lost = max(k for k in range(n) if (n - k) / n >= 0.8)
+    for bad in combinations(range(n), lost):
+        assert any(not {i + o for o in shape} & set(bad) for shape in SHAPES for i in range(n - shape[-1])), bad
+
+
+def test_adjacent_and_outer_changes(spark):
+    """Copies in which any two words (one of an item of eight or nine) differ, alone in their text or at its ends."""
+    items, docs = [], []
+    for n in (8, 9, 10, 11, 12, 13):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for bad in combinations(range(n), 1 if n < 10 else 2):
+            copy = " ".join("other" if k in bad else x for k, x in enumerate(item))
+            docs += [(len(docs) + i, t, "en", "s", n) for i, t in enumerate([copy, f"one two three {copy}", f"{copy} one two three"])]
+        # the text ends in the item, or begins in it
+        docs += [(len(docs) + i, t, "en", "s", n) for i, t in enumerate([f"one two three {' '.join(item[:-1])}", f"{' '.join(item[1:])} one two three"])]
+    items.append((15, " ".join(f"i15w{k}" for k in range(15))))
+    docs.append((len(docs), " ".join("other" if k in (6, 7) else f"i15w{k}" for k in range(15)), "en", "s", 15))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for seeds in (300_000, 0):
+        got = {r["doc_id"]: r["items"] for r in contamination(frame(spark, docs), bench, broadcast_seeds=seeds).collect()}
+        assert got == {d: [n] for d, *_, n in docs}

@@ -1,8 +1,8 @@
 """URL verdicts: rules on hosts and paths first, and a ratio of character models for all other URLs.
 
 Two smoothed variable-order Markov models, of accepted and of rejected URLs, learn
-from the URLs that the rules decide.  Contexts of 0 to ORDER characters are hashed
-to tables of fixed size; a character's chance in a context is interpolated with its
+from the URLs that the rules decide.  Contexts of 0 to ORDER bytes are counted under
+keys that hold them whole; counts too many to broadcast are joined.  A character's chance in a context is interpolated with its
 chance in the next shorter one, by how many different counts the context has.  The
 log-likelihood difference, a character, is compared with a threshold calibrated on
 URLs that the models did not learn from.
@@ -18,12 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import Words, mix64, pieces, sums_by_text
+from terrapane.llm.common import Words, pieces, staged, sums_by_text
 
 ORDER = 5
-BITS = 17
-#: Context and character share a slot's hash; each order and each class has 2^BITS slots of each.
-SLOTS = 1 << BITS
+#: Up to so many counts are broadcast; more are joined.
+MOST_COUNTS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -63,7 +62,7 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> C
 
 
 def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each byte of each URL, with a line feed as its end: a slot of its context and one of context and byte, by order; and the URLs' bounds."""
+    """For each byte of each URL, with a line feed as its end: a key of its context and one of context and byte, by order; and the URLs' bounds."""
     w = Words(texts)
     size = np.diff(w.text_at)
     at = np.concatenate([[0], np.cumsum(size + 1 + ORDER)])
@@ -76,40 +75,41 @@ def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     where = np.flatnonzero(place)
     context = np.empty((ORDER + 1, len(where)), np.int64)
     both = np.empty_like(context)
-    key = np.zeros(len(where), np.uint64)
+    key = np.zeros(len(where), np.int64)
     for o in range(ORDER + 1):
         if o:
-            key = key * np.uint64(257) + data[where - o] + np.uint64(1)
-        tagged = mix64(key * np.uint64(8) + np.uint64(o))
-        context[o] = (tagged >> np.uint64(64 - BITS)).astype(np.int64)
-        both[o] = (mix64(tagged + data[where] + np.uint64(1)) >> np.uint64(64 - BITS)).astype(np.int64)
+            key |= data[where - o].astype(np.int64) << (8 * (o - 1))
+        context[o] = key | _tag(0, o)
+        both[o] = key << 8 | data[where].astype(np.int64) | _tag(1, o)
     return context, both, np.concatenate([[0], np.cumsum(size + 1)])
 
 
+def _tag(pair: int, order: int, side: int = 0) -> int:
+    return (side * 16 + pair * 8 + order) << 56
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of slots by class: code = ((class * 2 + is_pair) * (ORDER + 1) + order) * SLOTS + slot."""
-    total = np.zeros(4 * (ORDER + 1) * SLOTS, np.int64)
+    """Counts of keys by class, which _tag adds to the key."""
     for batch in pieces(batches, "url"):
         good = np.array(batch.column("good").to_pylist(), np.int64)
         context, both, bound = slots(batch.column("url"))
-        side = np.repeat(good, np.diff(bound))
-        for pair, table in enumerate((context, both)):
-            for o in range(ORDER + 1):
-                code = ((side * 2 + pair) * (ORDER + 1) + o) * SLOTS + table[o]
-                total += np.bincount(code, minlength=len(total))
-    used = np.flatnonzero(total)
-    for i in range(0, len(used), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(used[i : i + 200_000]), pa.array(total[used[i : i + 200_000]])], ["code", "n"])
+        side = np.repeat(good, np.diff(bound)) * _tag(0, 0, 1)
+        code, n = np.unique(np.concatenate([context + side, both + side]).ravel(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
 
 
 class Ratio:
     """Log-likelihood of URLs under the accepted less that under the rejected, a byte."""
 
     def __init__(self, code: np.ndarray, n: np.ndarray, strength: float = 4.0):
-        flat = np.zeros(4 * (ORDER + 1) * SLOTS)
-        flat[code] = n
-        self.table = flat.reshape(2, 2, ORDER + 1, SLOTS)
-        self.strength = strength
+        order = np.argsort(code)
+        self.code, self.n, self.strength = code[order], n[order], strength
+
+    def count(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.code):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.code, keys), len(self.code) - 1)
+        return np.where(self.code[at] == keys, self.n[at], 0)
 
     def __call__(self, urls: pa.Array) -> np.ndarray:
         context, both, bound = slots(urls)
@@ -117,12 +117,40 @@ class Ratio:
         for side in (1, 0):
             p = np.full(context.shape[1], 1 / 256)
             for o in range(ORDER + 1):
-                n, c = self.table[side, 0, o][context[o]], self.table[side, 1, o][both[o]]
-                p = (np.minimum(c, n) + self.strength * p) / (n + self.strength)
+                n, c = self.count(context[o] + _tag(0, 0, side)), self.count(both[o] + _tag(0, 0, side))
+                p = (c + self.strength * p) / (n + self.strength)
             logs.append(np.log(p))
         return sums_by_text(logs[0] - logs[1], bound) / np.maximum(1, np.diff(bound))
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's ORDER bytes and byte at each of its places."""
+    for batch in pieces(batches, "url"):
+        _, both, bound = slots(batch.column("url"))
+        flat = pa.ListArray.from_arrays(pa.array(bound.astype(np.int32)), pa.array(both[ORDER] - _tag(1, ORDER)))
+        yield pa.RecordBatch.from_arrays([batch.column("url"), flat], ["url", "windows"])
+
+
+def _joined_scores(urls: DataFrame, counts: DataFrame, strength: float = 4.0) -> DataFrame:
+    """key (xxhash64 of the URL) and score of each distinct URL, as Ratio has it, with the counts looked up by a join."""
+    found = staged(urls.select("url").distinct().mapInArrow(_windows, "url string, windows array<long>"), "windows")
+    found = found.select(F.xxhash64("url").alias("key"), F.size("windows").alias("bytes"), F.explode("windows").alias("w"))
+    names = {f"n{s}{pair}{o}": (s, pair, o) for s in (1, 0) for pair in (0, 1) for o in range(ORDER + 1)}
+    wanted = [
+        F.struct(F.lit(name).alias("name"), (F.shiftright("w", 8 * (1 - pair)).bitwiseAND(F.lit((1 << 8 * (o + pair)) - 1)) + F.lit(_tag(pair, o, s))).alias("code"))
+        for name, (s, pair, o) in names.items()
+    ]
+    asked = found.select("w").distinct().select("w", F.explode(F.array(*wanted)).alias("x")).select("w", "x.*").join(counts, "code", "left")
+    per = asked.groupBy("w").agg(*[F.coalesce(F.max(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).alias(name) for name in names])
+    for s in (1, 0):
+        per = per.withColumn("p", F.lit(1 / 256))
+        for o in range(ORDER + 1):
+            per = per.withColumn("p", (F.col(f"n{s}1{o}") + strength * F.col("p")) / (F.col(f"n{s}0{o}") + strength))
+        per = per.withColumn(f"log{s}", F.log("p"))
+    per = per.select("w", (F.col("log1") - F.col("log0")).alias("ratio"))
+    return found.join(per, "w").groupBy("key").agg((F.sum("ratio") / F.max("bytes")).alias("score"))
+
+
 def threshold(good: np.ndarray, bad: np.ndarray) -> float:
     """The cut with the least sum of both classes' error rates; 0 where a class is missing.  Of equal cuts, the one nearest 0."""
     if not len(good) or not len(bad):
@@ -135,7 +163,7 @@ def threshold(good: np.ndarray, bad: np.ndarray) -> float:
     return float(best[np.argmin(np.abs(best))])
 
 
-def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES, calibration_rows: int = 20_000) -> DataFrame:
+def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES, calibration_rows: int = 20_000, most_counts: int = MOST_COUNTS) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row.
 
     score is the length-normalised log-likelihood difference; above the threshold the method allows.  URLs that a
@@ -150,9 +178,14 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     rows = rows.select("page_id", "url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("ruled"))
     taught = rows.filter("rule IS NOT NULL").select("url", (F.col("ruled") == "allow").cast("int").alias("good"))
     fold = F.pmod(F.xxhash64("url"), F.lit(5))
-    counts = taught.filter(fold != 0).mapInArrow(_tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    ratio = Ratio(counts.column("code").to_numpy(), counts.column("n").to_numpy())
-    shared = spark.sparkContext.broadcast(ratio)
+    counts = taught.filter(fold != 0).mapInArrow(_tally, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = staged(counts, "counts")
+    small = counts.count() <= most_counts
+    if small:
+        table = counts.toArrow()
+        shared = spark.sparkContext.broadcast(Ratio(table.column("code").to_numpy(), table.column("n").to_numpy()))
+    else:
+        by_url = staged(_joined_scores(rows, counts), "scores")
 
     def scored(extra: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +198,16 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
     total = held.count()
     draw = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
     held = held.filter(draw < min(1.0, calibration_rows / max(1, total))).limit(2 * calibration_rows)
-    marks = held.mapInArrow(scored(["good"]), "good int, score double").toArrow()
+    if small:
+        marks = held.mapInArrow(scored(["good"]), "good int, score double").toArrow()
+    else:
+        marks = held.withColumn("key", F.xxhash64("url")).join(by_url, "key").select("good", "score").toArrow()
     good, score = marks.column("good").to_numpy(), marks.column("score").to_numpy()
     cut = threshold(score[good == 1], score[good == 0])
-    out = rows.mapInArrow(scored(["page_id", "host", "path", "rule", "ruled"]), f"page_id {kind}, host string, path string, rule string, ruled string, score double")
+    if small:
+        out = rows.mapInArrow(scored(["page_id", "host", "path", "rule", "ruled"]), f"page_id {kind}, host string, path string, rule string, ruled string, score double")
+    else:
+        out = rows.withColumn("key", F.xxhash64("url")).join(by_url, "key")
     # mapInArrow drops nothing: the url column stays behind once it is scored
     verdict = F.coalesce(F.col("ruled"), F.when(F.col("score") > cut, F.lit("allow")).otherwise(F.lit("block")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")

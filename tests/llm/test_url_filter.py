@@ -60,3 +60,17 @@ def test_ratio_is_the_interpolation():
 def test_threshold():
     assert threshold(np.array([2.0, 3.0]), np.array([-1.0, 0.0])) == 1.0
     assert threshold(np.array([]), np.array([1.0])) == 0.0
+
+
+def test_contexts_are_counted_apart():
+    urls = pa.array([f"http://h{i * 7919 % 100_003}.org/{i * 104_729 % 1_000_003}" for i in range(20_000)])
+    context, both, _ = slots(urls)
+    text = [f"\n\n\n\n\n{u}\n" for u in urls.to_pylist()]
+    assert len(np.unique(both[5])) == len({t[i - 5 : i + 1] for t in text for i in range(5, len(t))})
+    assert len(np.unique(context[5])) == len({t[i - 5 : i] for t in text for i in range(5, len(t))})
+
+
+def test_joined_counts_give_the_same_scores(spark):
+    rows = [(i, f"http://site{i % 40}.org/fr/page{i}") for i in range(100)] + [(1000 + i, f"http://casino{i % 40}.net/win{i}") for i in range(100)] + URLS
+    a, b = (sorted((str(r["page_id"]), str(r["host"]), r["verdict"], round(r["score"], 9)) for r in judge(table(spark, rows), most_counts=m).collect()) for m in (10**6, 0))
+    assert len(a) == len(rows) and a == b

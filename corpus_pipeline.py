@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terrapane.llm.common import documents, release, staged
 from terrapane.llm.decontaminate import decontaminated
 from terrapane.llm.mixing import mixed
-from terrapane.llm.near_duplicates import near_duplicates
+from terrapane.llm.near_duplicates import near_duplicates, text_node
 from terrapane.llm.quality_rules import quality_rules
 from terrapane.llm.registry import tokens_written
 
@@ -27,9 +27,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class: the one with the smallest id."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class: the one with the smallest id, and of rows repeated with that id and text one.
+
+    Null texts are classes of their own and stay.  An empty table stays empty.
+    """
+    marks = near_duplicates(docs).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_found"), "kept").groupBy("_id", "_found")
+    marks = staged(marks.agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("kept").cast("long")).alias("_stay")), "marks")
+    named = docs.withColumn("_key", text_node("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_found"))
+    left = named.join(marks.filter("_stay = 0"), same, "left_anti")
+    again = marks.filter("_stay > 0 AND _rows > _stay")
+    if again.take(1):  # repeated rows
+        one = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"])
+        left = left.join(again, same, "left_anti").unionByName(one)
+    return left.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

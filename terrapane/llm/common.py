@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse').rstrip('/')}/_staged"
     return found.rstrip("/")
 
@@ -84,19 +86,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_OTHER = 0xC2B2AE3D27D4EB4F
 _M64 = (1 << 64) - 1
-_pows: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at once: the tables of powers have this length, whatever the texts.
+_SPAN = 1 << 16
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _pows.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        x = np.full(size, base, np.uint64)
-        x[0] = 1
-        have = _pows[base] = np.cumprod(x, dtype=np.uint64)
-    return have[:n]
+def _powers(base: int) -> np.ndarray:
+    x = np.full(_SPAN + 1, base, np.uint64)
+    x[0] = 1
+    return np.cumprod(x, dtype=np.uint64)
+
+
+_POWERS = {b: (_powers(b), _powers(pow(b, -1, 1 << 64))) for b in (_BASE, _OTHER)}
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -108,6 +110,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _span_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """sum((data[i] + 1) * base^(i - start)) modulo 2^64 of runs that lie within _SPAN bytes of each other."""
+    power, inverse = _POWERS[base]
+    low = int(start[0])
+    part = data[low : int(end.max())]
+    sums = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+    return (sums[end - low] - sums[start - low]) * inverse[start - low]
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """64-bit hashes of runs of bytes, given by rising bounds: a polynomial modulo 2^64, then a finaliser with the length.
+
+    Prefix sums over spans of _SPAN bytes make the polynomials; a longer run is the sum of its spans.
+    """
+    out = np.zeros(len(start), np.uint64)
+    size = end - start
+    wide = np.flatnonzero(size > _SPAN)
+    for i in wide:
+        step, scale, total = pow(base, _SPAN, 1 << 64), 1, 0
+        for low in range(int(start[i]), int(end[i]), _SPAN):
+            total += scale * int(_span_sums(data, np.array([low]), np.array([min(low + _SPAN, int(end[i]))]), base)[0])
+            scale = scale * step & _M64
+        out[i] = total & _M64
+    short = np.flatnonzero(size <= _SPAN) if len(wide) else slice(None)
+    s, e, h = start[short], end[short], out[short]
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + _SPAN, "right")))
+        h[i:j] = _span_sums(data, s[i:j], e[i:j], base)
+        i = j
+    out[short] = h
+    return mix64(out ^ (size.astype(np.uint64) << np.uint64(56)))
+
+
 class Words:
     """The words of some texts: their bytes, bounds, 64-bit hashes and the first word of each text."""
 
@@ -134,19 +171,15 @@ class Words:
         self.first = np.searchsorted(self.start, self.text_at)
 
     def hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of the words: a polynomial modulo 2^64 by prefix sums, then a finaliser with the length."""
-        data = self.data if data is None else data
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * _powers(_BASE_INV, len(data) + 1)[self.start]
-        return mix64(h ^ ((self.end - self.start).astype(np.uint64) << np.uint64(56)))
+        """64-bit hashes of the words."""
+        return run_hashes(self.data if data is None else data, self.start, self.end)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes of text, so that work arrays stay small."""
     for batch in batches:
         n = batch.num_rows

@@ -84,7 +84,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrapane.llm.near_duplicates import near_duplicates
 
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "kept")
 
 
 QUERIES = {

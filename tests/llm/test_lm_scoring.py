@@ -2,12 +2,11 @@ import math
 from collections import Counter
 from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
 from terrapane.llm.common import Words
-from terrapane.llm.lm_scoring import Tree, counted, normal_bytes, score, windows
+from terrapane.llm.lm_scoring import normal_bytes, score, window_scores, windows
 from tests.llm.conftest import ODD, frame
 
 
@@ -84,35 +83,45 @@ def test_windows_and_bytes():
 TEXTS = ["abra cadabra", "Abra bra", None, "cab ab", "dab  abra"]
 
 
-def tree_of(texts, depth):
-    keys = np.concatenate([windows(*normal_bytes(Words(pa.array([t])), depth), depth)[0] for t in texts])
-    return Tree(depth, [counted(keys & np.uint64((1 << 8 * (d + 1)) - 1)) for d in range(depth + 1)])
-
-
-@pytest.mark.parametrize("depth", [0, 1, 2])
-def test_tree_is_the_recursion(depth):
-    tree, brute = tree_of(TEXTS, depth), Brute(TEXTS, depth)
-    for t in [*TEXTS, "zebra", "ab ab"]:
-        keys, _ = windows(*normal_bytes(Words(pa.array([t], pa.string())), depth), depth)
-        assert tree.log10(keys).sum() == pytest.approx(brute.log10(t), abs=1e-9)
-
-
-def test_next_bytes_sum_to_one():
-    tree = tree_of(TEXTS, 2)
-    for context in (b"ab", b"\n\n", b"zz", b"br"):
-        keys = np.array([int.from_bytes(context + bytes([b])) for b in range(256)], np.uint64)
-        assert (10 ** tree.log10(keys)).sum() == pytest.approx(1)
-
-
-@pytest.mark.parametrize("most_words", [2_000_000, 3, 0])
-def test_base_and_model(spark, most_words):
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5])
+def test_scores_are_the_recursion(spark, depth):
+    """Every window, also those whose contexts were never seen in training, against the recursion over all contexts."""
+    brute = Brute(TEXTS, depth)
+    seen = Counter(int(k) for t in TEXTS for k in windows(*normal_bytes(Words(pa.array([t])), depth), depth)[0])
+    asked = {int(k) for t in ["zebra", "ab ab", "x cadabry"] for k in windows(*normal_bytes(Words(pa.array([t])), depth), depth)[0]}
+    rows = [(k, seen[k]) for k in seen.keys() | asked]
+    got = window_scores(spark.createDataFrame(rows, "key long, n long"), depth).collect()
+    assert sorted((r["key"], r["n"]) for r in got) == sorted(rows)
+    for r in got:
+        *context, byte = r["key"].to_bytes(depth + 1)
+        want = 0.0
+        for k in range(8):
+            p = brute.one(bytes(context), byte >> (8 - k) | 1 << k)
+            want += math.log10(p if byte >> (7 - k) & 1 else 1 - p)
+        assert r["value"] == pytest.approx(want, abs=1e-9)
+
+
+def test_next_bytes_sum_to_one(spark):
+    seen = Counter(int(k) for t in TEXTS for k in windows(*normal_bytes(Words(pa.array([t])), 2), 2)[0])
+    rows = {int.from_bytes(c + bytes([b])) for c in (b"ab", b"\n\n", b"zz", b"br") for b in range(256)}
+    got = window_scores(spark.createDataFrame([(k, seen[k]) for k in rows | seen.keys()], "key long, n long"), 2)
+    sums = Counter()
+    for r in got.collect():
+        sums[r["key"] >> 8] += 10 ** r["value"]
+    assert all(sums[int.from_bytes(c)] == pytest.approx(1) for c in (b"ab", b"\n\n", b"zz", b"br"))
+
+
+@pytest.mark.parametrize("most", [2_000_000, 3, 0])
+def test_base_and_model(spark, most):
+    """Whatever is broadcast, the scores are those of all windows and words."""
     rows = [(i, t, "en", "a", 0) for i, t in enumerate(TEXTS * 6)] + [(i + 100, *r[1:]) for i, r in enumerate(ODD) if r[0] not in (5, 6)]
     held = {i: crc32(str(i).encode()) % 10 == 0 for i, *_ in rows}
+    assert any(held.values())
     words = lambda t: plain(t).split() + ["END"]
     c = Counter(w for i, t, *_ in rows if not held[i] for w in words(t))
     n, v = sum(c.values()), len(c)
-    brute = Brute([t for i, t, *_ in rows if not held[i]], 1)
-    got = {r["doc_id"]: r for r in score(frame(spark, rows), depth=1, most_words=most_words).collect()}
+    brute = Brute([t for i, t, *_ in rows if not held[i]], 2)
+    got = {r["doc_id"]: r for r in score(frame(spark, rows), depth=2, most_words=most, most_windows=most).collect()}
     assert len(got) == len(rows)
     for i, t, *_ in rows:
         r = got[i]
@@ -121,10 +130,11 @@ def test_base_and_model(spark, most_words):
         assert r["score"] == pytest.approx(brute.log10(t), abs=1e-6)
 
 
-def test_pruned_tree_still_scores(spark):
-    rows = [(i, t, "en", "a", 0) for i, t in enumerate(TEXTS * 6)]
-    for r in score(frame(spark, rows), depth=3, most_nodes=20).collect():
-        assert -1e4 < r["score"] < 0
+def test_all_rows_held_out(spark):
+    held = [i for i in range(200) if crc32(str(i).encode()) % 10 == 0]
+    got = score(frame(spark, [(i, "ab c", "en", "a", 4) for i in held])).collect()
+    assert len(got) == len(held) and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in got)
+    assert all(r["score"] == pytest.approx(5 * 8 * math.log10(0.5)) for r in got)
 
 
 def test_odd_tables(spark, odd, empty):

@@ -1,21 +1,22 @@
 """Token ids in files: a static range asymmetric numeral system over shared frequencies.
 
-Texts are taken in ascending id order, tokenised once, and cut into blocks at text
-ends.  One table of frequencies, counted over all ids, serves every block.  A block
-is coded by itself on many interleaved lanes (id i goes to lane i modulo lanes), so
-that blocks, and segments of a block, decode in parallel: a checkpoint holds the
-lanes' states and the place in the stream where a segment begins, and each segment
-has a checksum.  A file is a Parquet table with one block in each row, because Spark
-can write and commit that to any store.
-
-The tokenizers library encodes each distinct unit (white space and the run of other
-characters after it) once in a worker: the tokenizer's pattern never joins a run
-with what follows it.  Texts with white space outside ASCII are encoded whole.
+Texts are tokenised once; then their ids are put in ascending order of the texts' ids
+and cut into blocks at text ends.  One table of frequencies, counted over all ids,
+serves every block.  A block is coded by itself on many interleaved lanes (id i goes
+to lane i modulo lanes), so that blocks, and segments of a block, decode in parallel:
+a checkpoint holds the lanes' states and the place in the stream where a segment
+begins, and each segment has a checksum.  A file is a Parquet table with one block in
+each row, because Spark can write and commit that to any store.
+
+Where the tokenizer splits as GPT-2 does, its pattern never joins a run of characters
+with what follows it, and the library encodes each distinct unit (white space and the
+run after it) once while a worker remembers it.  Texts with white space outside ASCII,
+texts that hold an added token, and all texts of other tokenizers are encoded whole.
 """
 
 from __future__ import annotations
 
-import gc
+import json
 import os
 import struct
 import zlib
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import _BASE, _BASE_INV, Words, _powers, mix64, pieces, release, staged, sums_by_text
+from terrapane.llm.common import _BASE, _OTHER, Words, pieces, release, run_hashes, staged, sums_by_text
 
 MAGIC = b"TPR1"
 SCALE = 20
@@ -139,29 +140,43 @@ def decode_block(data: bytes, table: Table, segment: int | None = None) -> np.nd
 
 
 class UnitEncoder:
-    """Ids of whole texts through the tokenizers library, which sees each distinct unit once while it is remembered."""
+    """Ids of whole texts through the tokenizers library, which sees each distinct unit once while it is remembered.
 
-    def __init__(self, tokenizer_json: str, most: int = 2_000_000):
+    A table of fixed size remembers units; a unit whose place is taken, or all of them once they have `most` ids, are forgotten.
+    """
+
+    def __init__(self, tokenizer_json: str, bits: int = 17, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most = most
-        self._forget()
-
-    def _forget(self) -> None:
-        self.key = np.zeros(0, np.uint64)
-        self.check = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        about = json.loads(tokenizer_json)
+        self.added = [x["content"].encode() for x in about.get("added_tokens") or [] if x["content"]]
+        split = about.get("pre_tokenizer") or {}
+        self.by_unit = (
+            split.get("type") == "ByteLevel"
+            and split.get("use_regex", True)
+            and not split.get("add_prefix_space", True)
+            and about["model"].get("type") == "BPE"
+            and not any(about.get(x) for x in ("normalizer", "truncation", "padding"))
+            and not about["model"].get("dropout")
+        )
+        self.shift, self.most = np.uint64(64 - bits), most
+        self.key, self.check = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.at, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._ids(texts)
+        return np.array([y for x in ids for y in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of the texts among them."""
+        if not self.by_unit:
+            return self._whole([x or "" for x in texts.to_pylist()])
         w = Words(texts)
         # units tile a text: from the end of the run before, or the text's beginning; white space at a text's end is one more
         n_words = np.diff(w.first)
@@ -174,26 +189,27 @@ class UnitEncoder:
         start = np.concatenate([before, last[trails]])
         order = np.lexsort((end, text)) if trails.any() else slice(None)
         text, start, end = text[order], start[order], end[order]
-        first = np.searchsorted(text, np.arange(len(n_words) + 1))
-        key, check = _two_hashes(w.data, start, end)
-        one_key, one, back = np.unique(key, return_index=True, return_inverse=True)
-        odd = self._wide(w) | (sums_by_text((check != check[one][back]).astype(np.int64), first) > 0) if len(key) else np.zeros(len(n_words), bool)
-        at, size = self._known(w.data, one_key, check[one], start[one], end[one])
-        at, size = at[back], size[back]
-        total = sums_by_text(size, first)
-        if odd.any():
-            whole = {int(i): np.array(x, np.uint32) for i, x in zip(np.flatnonzero(odd), self._ids([texts[int(i)].as_py() or "" for i in np.flatnonzero(odd)]), strict=True)}
-            spread = _ragged(self.flat, at, size)
-            bound = np.concatenate([[0], np.cumsum(total)])
-            parts = [whole.get(i, spread[bound[i] : bound[i + 1]]) for i in range(len(n_words))]
-            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        return _ragged(self.flat, at, size), np.concatenate([[0], np.cumsum(total)])
-
-    @staticmethod
-    def _wide(w: Words) -> np.ndarray:
-        """Which texts have white space outside ASCII."""
+        at, size = self._known(w.data, start, end)
+        total = sums_by_text(size, np.searchsorted(text, np.arange(len(n_words) + 1)))
+        ids, bound = _ragged(self.flat, at, size), np.concatenate([[0], np.cumsum(total)])
+        odd = np.flatnonzero(self._odd(w))
+        if not len(odd):
+            return ids, bound
+        whole = dict(zip(odd.tolist(), self._ids([texts[i].as_py() or "" for i in odd.tolist()]), strict=True))
+        parts = [np.array(whole[i], np.uint32) if i in whole else ids[bound[i] : bound[i + 1]] for i in range(len(n_words))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _odd(self, w: Words) -> np.ndarray:
+        """Which texts have white space outside ASCII, or may have an added token."""
         d = w.data
         out = np.zeros(len(w.text_at) - 1, bool)
+        raw = d.tobytes() if self.added else b""
+        for token in self.added:
+            i = raw.find(token)
+            while i >= 0:
+                t = int(np.searchsorted(w.text_at, i, "right")) - 1
+                out[t] = True
+                i = raw.find(token, int(w.text_at[t + 1]))
         if len(d) < 2:
             return out
         lead = np.flatnonzero((d[:-1] == 0xC2) | ((d[:-1] >= 0xE1) & (d[:-1] <= 0xE3)))
@@ -203,42 +219,36 @@ class UnitEncoder:
         out[np.searchsorted(w.text_at, lead[hit], "right") - 1] = True
         return out
 
-    def _known(self, data: np.ndarray, key: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each distinct unit's ids are in `flat`, and how many; new ones are encoded and remembered."""
-        if len(self.key) + len(key) > self.most:
-            self._forget()
-        i = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
-        hit = (self.key[i] == key) & (self.check[i] == check) if len(self.key) else np.zeros(len(key), bool)
-        new = np.flatnonzero(~hit)
+    def _known(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each unit's ids are in `flat`, and how many; new ones are encoded and remembered."""
+        if not len(start):
+            return start, start
+        key, check = run_hashes(data, start, end, _BASE), run_hashes(data, start, end, _OTHER)
+        if self.used > self.most:
+            self.key[:], self.check[:], self.used = 0, 0, 0
+        slot = key >> self.shift
+        at, size = self.at[slot], self.size[slot]
+        new = np.flatnonzero((self.key[slot] != key) | (self.check[slot] != check))
         if not len(new):
-            return self.at[i], self.size[i]
+            return at, size
+        both = np.stack([key[new], check[new]], axis=1).view([("key", np.uint64), ("check", np.uint64)]).ravel()
+        _, one, back = np.unique(both, return_index=True, return_inverse=True)
+        one = new[one]
         raw = data.tobytes()
-        ids = self._ids([raw[a:b].decode() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((y for x in ids for y in x), np.uint32, int(size.sum()))
-        at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, flat])
-        out_at, out_size = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
-        if hit.any():
-            out_at[hit], out_size[hit] = self.at[i[hit]], self.size[i[hit]]
-        out_at[new], out_size[new] = at, size
-        place = np.searchsorted(self.key, key[new])
-        for name, value in (("key", key[new]), ("check", check[new]), ("at", at), ("size", size)):
-            setattr(self, name, np.insert(getattr(self, name), place, value))
-        return out_at, out_size
-
-
-_OTHER = 0xC2B2AE3D27D4EB4F
-_OTHER_INV = pow(_OTHER, -1, 1 << 64)
-
-
-def _two_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base, inverse in ((_BASE, _BASE_INV), (_OTHER, _OTHER_INV)):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data)), out=sums[1:])
-        out.append(mix64((sums[end] - sums[start]) * _powers(inverse, len(data) + 1)[start] ^ ((end - start).astype(np.uint64) << np.uint64(56))))
-    return out[0], out[1]
+        ids = self._ids([raw[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
+        n = np.array([len(x) for x in ids], np.int64)
+        place = self.used + np.cumsum(n) - n
+        self.used += int(n.sum())
+        if self.used > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(self.used, np.uint32)])
+        self.flat[self.used - int(n.sum()) : self.used] = np.fromiter((y for x in ids for y in x), np.uint32, int(n.sum()))
+        at[new], size[new] = place[back], n[back]
+        slot = slot[one]
+        self.key[slot] = key[one]
+        kept = self.key[slot] == key[one]  # of two for one place the last stays
+        for mine, value in ((self.check, check[one]), (self.at, place), (self.size, n)):
+            mine[slot[kept]] = value[kept]
+        return at, size
 
 
 def _ragged(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -248,47 +258,73 @@ def _ragged(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
-_encoders: dict[int, UnitEncoder] = {}
+def _binary(flat: np.ndarray, bound: np.ndarray) -> pa.Array:
+    """A binary for each run of `flat`."""
+    width = flat.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer((bound * width).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+def _tokenise(shared, end_id: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = UnitEncoder(shared.value)
+        for batch in pieces(batches, "text"):
+            ids, bound = encoder(batch.column("text"))
+            ids = np.insert(ids, bound[1:], end_id).astype(kind)
+            bound = bound + np.arange(len(bound))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(np.diff(bound)), _binary(ids, bound)], ["doc_id", "tie", "n_tokens", "ids"])
+
+    return run
 
 
-def _encoder(tokenizer_json: str) -> UnitEncoder:
-    key = hash(tokenizer_json)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = UnitEncoder(tokenizer_json)
-    return _encoders[key]
+def _flat(ids: pa.Array, kind: str) -> np.ndarray:
+    """The ids of all rows, one row's after another's."""
+    bound = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4)
+    return np.frombuffer(ids.buffers()[2], np.uint8)[bound[0] : bound[-1]].view(kind) if bound[-1] > bound[0] else np.zeros(0, kind)
 
 
-def _tokenise(shared, end_id: int, kind: pa.DataType):
+def _count(kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
-        part = TaskContext.get().partitionId()
-        names, sizes, held, block, before = [], [], [], 0, 0
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            more = np.bincount(_flat(batch.column("ids"), kind), minlength=len(total))
+            more[: len(total)] += total
+            total = more
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
+
+    return run
+
+
+def _code(shared, kind: str):
+    """Blocks of about BLOCK ids, cut at text ends, with what a reader needs to know of their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, part = Table(shared.value), TaskContext.get().partitionId()
+        names, sizes, held, room, block, before = [], [], [], BLOCK, 0, 0
 
         def made() -> pa.RecordBatch:
             ids = np.concatenate(held)
             docs = pa.ListArray.from_arrays(pa.array([0, sum(map(len, names))], pa.int32()), pa.concat_arrays(names))
             n = pa.array([np.concatenate(sizes).tolist()], pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([before], pa.int64()), docs, n, pa.array([len(ids)], pa.int64()), pa.array([ids.astype("<u4" if ids.max() > 65535 else "<u2").tobytes()], pa.binary())],
-                ["part", "block", "before", "doc_ids", "sizes", "n_tokens", "ids"],
+                [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([before], pa.int64()), docs, n, pa.array([len(ids)], pa.int64()), pa.array([encode_block(ids, table)], pa.binary())],
+                ["part", "block", "before", "doc_ids", "sizes", "n_tokens", "data"],
             )
 
-        for batch in pieces(batches, "text"):
-            ids, bound = encoder(batch.column("text"))
-            ids = np.insert(ids, bound[1:], end_id)
-            bound = bound + np.arange(len(bound))
+        for batch in batches:
+            ids, size = _flat(batch.column("ids"), kind), batch.column("n_tokens").to_numpy()
+            bound = np.concatenate([[0], np.cumsum(size)])
             i = 0
             while i < batch.num_rows:
-                room = BLOCK - sum(map(len, held))
                 j = max(i + 1, int(np.searchsorted(bound, bound[i] + room, "right")) - 1)
-                names.append(batch.column("doc_id").slice(i, j - i).cast(kind))
-                sizes.append(np.diff(bound[i : j + 1]))
-                held.append(ids[bound[i] : bound[j]])
+                names.append(batch.column("doc_id").slice(i, j - i))
+                sizes.append(size[i:j])
+                held.append(ids[bound[i] : bound[j]].copy())
+                room -= int(bound[j] - bound[i])
                 i = j
-                if i < batch.num_rows or sum(map(len, held)) >= BLOCK:
+                if i < batch.num_rows or room <= 0:
                     yield made()
-                    block, before = block + 1, before + sum(map(len, held))
+                    block, before, room = block + 1, before + sum(map(len, held)), BLOCK
                     names, sizes, held = [], [], []
         if held:
             yield made()
@@ -296,62 +332,35 @@ def _tokenise(shared, end_id: int, kind: pa.DataType):
     return run
 
 
-def _raw(ids: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for ids, n in zip(batch.column("ids"), batch.column("n_tokens").to_pylist(), strict=True):
-            more = np.bincount(_raw(ids.as_py(), n), minlength=len(total))
-            more[: len(total)] += total
-            total = more
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-
-_tables: dict[str, Table] = {}
-
-
-def _table(name: str, counts: np.ndarray) -> Table:
-    if name not in _tables:
-        _tables.clear()
-        _tables[name] = Table(counts)
-    return _tables[name]
-
-
-def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, vocabulary: int = 1 << 18) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> None:
     """Write the ids of every text of `docs`, each with `end_id` after it, to path/blocks, and the frequencies to path/table.
 
     Texts stand in ascending id order, null ids first; rows with equal ids by a hash of their texts.  A null text is
-    empty, and its end is all it has.  An empty table makes files without blocks.
+    empty, and its end is all it has.  An empty table makes files without blocks.  The table has a row for each id that
+    occurs, at most as many as the tokenizer has tokens, which must be fewer than 2^SCALE.
     """
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
+    most = max(Tokenizer.from_str(tokenizer_json).get_vocab_size(with_added_tokens=True), end_id + 1)
+    if most >= 1 << SCALE or end_id < 0:
+        raise ValueError(f"{most} ids: the table has places for fewer than {1 << SCALE}")
+    kind = "<u2" if most <= 1 << 16 else "<u4"
     shared = spark.sparkContext.broadcast(tokenizer_json)
-    kind = docs.schema[doc_id].dataType
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    arrow_kind = spark.createDataFrame([], docs.select(doc_id).schema).toArrow().schema.field(0).type
-    schema = f"part int, block long, before long, doc_ids array<{kind.simpleString()}>, sizes array<long>, n_tokens long, ids binary"
-    raw = staged(rows.mapInArrow(_tokenise(shared, end_id, arrow_kind), schema), "ids")
-    del rows
-    # the shuffled texts go before the files come: a finished job's shuffle files stay until the driver's garbage is collected
-    gc.collect()
-    spark._jvm.System.gc()
-    counts = raw.select("n_tokens", "ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("id") < vocabulary)
+    name = docs.schema[doc_id].dataType.simpleString()
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
+    rows = rows.mapInArrow(_tokenise(shared, end_id, kind), f"doc_id {name}, tie long, n_tokens long, ids binary")
+    # the row's number lets equal ids and texts fall to several ranges
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "ids")
+    counts = rows.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts.coalesce(1).write.parquet(f"{path}/table")
-    name, freq = f"{path}/table", spark.sparkContext.broadcast(_counts(spark, path))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(name, freq.value)
-        for batch in batches:
-            n = batch.column("n_tokens").to_pylist()
-            coded = [encode_block(_raw(x.as_py(), m), table) for x, m in zip(batch.column("ids"), n, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(coded, pa.binary())], ["part", "block", "before", "doc_ids", "sizes", "n_tokens", "data"])
-
-    raw.mapInArrow(encode, schema.replace("ids binary", "data binary")).write.option("compression", "none").parquet(f"{path}/blocks")
-    release(raw)
+    freq = spark.sparkContext.broadcast(_counts(spark, path))
+    ordered = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
+    schema = f"part int, block long, before long, doc_ids array<{name}>, sizes array<long>, n_tokens long, data binary"
+    ordered.select("doc_id", "n_tokens", "ids").mapInArrow(_code(freq, kind), schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    release(rows)
+    shared.destroy()
+    freq.destroy()
 
 
 def _counts(spark: SparkSession, path: str) -> np.ndarray:
@@ -374,11 +383,11 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     starts, at = {}, 0
     for p in sorted(parts):
         starts[p], at = at, at + parts[p]
-    name, freq = f"{path}/table", spark.sparkContext.broadcast((_counts(spark, path), starts))
+    freq = spark.sparkContext.broadcast((_counts(spark, path), starts))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, starts = freq.value
-        table = _table(name, counts)
+        table = Table(counts)
         for batch in batches:
             for row in range(batch.num_rows):
                 got = decode_block(batch.column("data")[row].as_py(), table).astype("<u4")

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -16,7 +17,6 @@ JSON = open(vocabulary_path("byte_bpe_50k.json"), encoding="utf-8").read()
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_str(JSON)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s, add_special_tokens=False).ids
 
 
@@ -47,12 +47,12 @@ def test_segments_and_checksums():
         decode_block(b"????" + data[4:], table)
 
 
-TEXTS = ["a  b\n\n c ", "", " ", "\n", "x  y", "don't  I'll  \r\n 12 3", " a", "日本 語　x", "<|endoftext|>a", "a" * 700, "tab\tt \t x", "é è  ", "\x1c\x1d a", "a\u0085 b"]
+TEXTS = ["a  b\n\n c ", "", " ", "\n", "x  y", "don't  I'll  \r\n 12 3", " a", "日本 語　x", "<|endoftext|>a", "x<|endoftext|>a <|endoftext|> <|endoftext", "b" * 70_000, "a" * 700, "tab\tt \t x", "é è  ", "\x1c\x1d a", "a\u0085 b"]
 
 
 def test_units_make_the_tokenizers_ids(plain):
     for repeat in range(2):
-        e = UnitEncoder(JSON, most=30 if repeat else 2_000_000)
+        e = UnitEncoder(JSON, **({"bits": 3, "most": 30} if repeat else {}))
         for _ in range(2):
             ids, bound = e(pa.array(TEXTS + [None]))
             assert [ids[a:b].tolist() for a, b in zip(bound, bound[1:])] == [plain(t) for t in TEXTS] + [[]]
@@ -80,3 +80,28 @@ def test_files(spark, odd, empty, plain, tmp_path):
     write_tokens(odd, f"{tmp_path}/f", JSON)
     ids = [x for r in sorted(read_tokens(spark, f"{tmp_path}/f", ids=True).collect(), key=lambda r: r["start"]) for x in r["ids"]]
     assert len(ids) == at
+
+
+def test_other_tokenizers_see_whole_texts():
+    """A tokenizer that splits otherwise gets no units: nothing is assumed of it."""
+    about = json.loads(JSON)
+    about["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "ByteLevel", "add_prefix_space": True, "use_regex": False, "trim_offsets": True}]}
+    other = json.dumps(about)
+    t = Tokenizer.from_str(other)
+    ids, bound = UnitEncoder(other)(pa.array([*TEXTS, None]))
+    assert [ids[a:b].tolist() for a, b in zip(bound, bound[1:])] == [t.encode(x, add_special_tokens=False).ids for x in [*TEXTS, ""]]
+
+
+def test_ids_beyond_the_tokenizer(spark, odd, tmp_path):
+    """An end id that the tokenizer lacks, beyond 16 bits, comes back whole; one that the table can't hold is refused before anything is written."""
+    write_tokens(odd, f"{tmp_path}/f", JSON, end_id=300_000)
+    assert all(r["ids"][-1] == 300_000 for r in read_tokens(spark, f"{tmp_path}/f", ids=True).collect())
+    with pytest.raises(ValueError):
+        write_tokens(odd, f"{tmp_path}/g", JSON, end_id=1 << 20)
+
+
+def test_repeated_rows_in_many_ranges(spark, plain, tmp_path):
+    rows = spark.range(3000).selectExpr("CAST(7 AS BIGINT) AS doc_id", "'same text' AS text").repartition(4)
+    write_tokens(rows, f"{tmp_path}/f", JSON)
+    n = len(plain("same text")) + 1
+    assert sorted(r["start"] for r in read_tokens(spark, f"{tmp_path}/f").collect()) == [i * n for i in range(3000)]

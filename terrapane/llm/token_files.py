@@ -21,6 +21,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import _BASE, _OTHER, Words, pieces, release, run_hashes, staged, sums_by_text
+from terrapane.llm.common import _BASE, _IS_SPACE, _OTHER, Words, pieces, release, run_hashes, staged, sums_by_text
 
 MAGIC = b"TPR1"
 SCALE = 20
@@ -145,13 +146,14 @@ class UnitEncoder:
     A table of fixed size remembers units; a unit whose place is taken, or all of them once they have `most` ids, are forgotten.
     """
 
-    def __init__(self, tokenizer_json: str, bits: int = 17, most: int = 1_000_000):
+    def __init__(self, tokenizer_json: str, bits: int = 19, most: int = 4_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         about = json.loads(tokenizer_json)
-        self.added = [x["content"].encode() for x in about.get("added_tokens") or [] if x["content"]]
+        added = {x["content"]: x["id"] for x in about.get("added_tokens") or [] if x["content"]}
+        self.added = [x.encode() for x in added]
         split = about.get("pre_tokenizer") or {}
         self.by_unit = (
             split.get("type") == "ByteLevel"
@@ -161,9 +163,14 @@ class UnitEncoder:
             and not any(about.get(x) for x in ("normalizer", "truncation", "padding"))
             and not about["model"].get("dropout")
         )
+        # a token of such a vocabulary has a character for each byte
+        self.width = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        if self.by_unit:
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.width[i] = len(token)
         self.shift, self.most = np.uint64(64 - bits), most
         self.key, self.check = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
-        self.at, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.at, self.size = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
         self.flat, self.used = np.zeros(1 << 12, np.uint32), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -189,10 +196,13 @@ class UnitEncoder:
         start = np.concatenate([before, last[trails]])
         order = np.lexsort((end, text)) if trails.any() else slice(None)
         text, start, end = text[order], start[order], end[order]
-        at, size = self._known(w.data, start, end)
+        odd = self._odd(w)
+        own = np.flatnonzero(~odd[text]) if odd.any() else slice(None)
+        at, size = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+        at[own], size[own] = self._known(w.data, start[own], end[own])
         total = sums_by_text(size, np.searchsorted(text, np.arange(len(n_words) + 1)))
         ids, bound = _ragged(self.flat, at, size), np.concatenate([[0], np.cumsum(total)])
-        odd = np.flatnonzero(self._odd(w))
+        odd = np.flatnonzero(odd)
         if not len(odd):
             return ids, bound
         whole = dict(zip(odd.tolist(), self._ids([texts[i].as_py() or "" for i in odd.tolist()]), strict=True))
@@ -227,21 +237,22 @@ class UnitEncoder:
         if self.used > self.most:
             self.key[:], self.check[:], self.used = 0, 0, 0
         slot = key >> self.shift
-        at, size = self.at[slot], self.size[slot]
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         new = np.flatnonzero((self.key[slot] != key) | (self.check[slot] != check))
         if not len(new):
             return at, size
         both = np.stack([key[new], check[new]], axis=1).view([("key", np.uint64), ("check", np.uint64)]).ravel()
         _, one, back = np.unique(both, return_index=True, return_inverse=True)
         one = new[one]
-        raw = data.tobytes()
-        ids = self._ids([raw[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)])
-        n = np.array([len(x) for x in ids], np.int64)
+        # units with white space first and something else last can stand one after another
+        alone = ~_IS_SPACE[data[start[one]]] | _IS_SPACE[data[end[one] - 1]]
+        one, back = _reordered(one, back, np.argsort(alone, kind="stable"))
+        ids, n = self._units(data, start[one], end[one], int((~alone).sum()))
         place = self.used + np.cumsum(n) - n
-        self.used += int(n.sum())
+        self.used += len(ids)
         if self.used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(self.used, np.uint32)])
-        self.flat[self.used - int(n.sum()) : self.used] = np.fromiter((y for x in ids for y in x), np.uint32, int(n.sum()))
+        self.flat[self.used - len(ids) : self.used] = ids
         at[new], size[new] = place[back], n[back]
         slot = slot[one]
         self.key[slot] = key[one]
@@ -251,6 +262,28 @@ class UnitEncoder:
         return at, size
 
 
+    def _units(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, joined: int, many: int = 100) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of units, and how many each has.  The first `joined` are handed over many at a time; the tokens' bytes tell them apart."""
+        raw = data.tobytes()
+        units = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        texts = [b"".join(units[i : min(joined, i + many)]).decode() for i in range(0, joined, many)]
+        found = self._ids(texts)
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        bytes_at = np.cumsum(self.width[ids])
+        unit_at = np.cumsum(end[:joined] - start[:joined])
+        last = np.searchsorted(bytes_at, unit_at)
+        if joined and not (len(ids) and last[-1] < len(ids) and np.array_equal(bytes_at[last], unit_at)):
+            raise ValueError("tokens that are not of their units' bytes")
+        rest, sizes = self._whole([u.decode() for u in units[joined:]])
+        return np.concatenate([ids, rest]), np.concatenate([np.diff(last, prepend=-1), np.diff(sizes)])
+
+
+def _reordered(one: np.ndarray, back: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return one[order], place[back]
+
+
 def _ragged(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[at : at + size] one after another."""
     if not len(at):
@@ -264,9 +297,21 @@ def _binary(flat: np.ndarray, bound: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer((bound * width).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
+#: The worker's encoder, about 70 MB, which later tasks of the worker find warm.
+_encoders: dict[int, UnitEncoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> UnitEncoder:
+    key = hash(tokenizer_json)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = UnitEncoder(tokenizer_json)
+    return _encoders[key]
+
+
 def _tokenise(shared, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(shared.value)
+        encoder = _encoder(shared.value)
         for batch in pieces(batches, "text"):
             ids, bound = encoder(batch.column("text"))
             ids = np.insert(ids, bound[1:], end_id).astype(kind)

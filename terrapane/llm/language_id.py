@@ -4,8 +4,9 @@ Each language has probabilities of the pieces of one fixed public vocabulary.  A
 word's probability is the sum over all its segmentations into pieces of the product
 of their probabilities, which a forward pass over its bytes gives; a text's is the
 product over its words.  Training runs a few rounds of expectation-maximisation on
-the same sums.  Words are lower-cased and have a space before them; a word of more
-than MOST bytes is taken in parts of MOST bytes.
+the same sums.  Words are lower-cased and have a space before them.  The pass moves
+over a word of any length in steps of STEP bytes; after each the sums are scaled by
+the largest and the scale is kept as a logarithm, so that nothing underflows.
 """
 
 from __future__ import annotations
@@ -20,127 +21,185 @@ from pyspark.sql import functions as F
 
 from terrapane.llm.common import Words, crc_mod, pieces, sums_by_text
 
-MOST = 40
+#: Bytes between scalings: sums of chances over so many bytes stay well within a double's range.
+STEP = 16
+#: Learning takes words of up to so many bytes side by side, and longer ones one by one in logarithms.
+SHORT = 32
 
 
 class Pieces:
-    """The vocabulary as a trie in arrays: child[node * 256 + byte] and piece[node], -1 where there is none.
+    """The vocabulary as a trie in two arrays: node v goes on by byte b to v' = base[v] + b if owner[v'] is v; piece[v] is -1 where no piece ends.
 
-    Single bytes are pieces, whether the vocabulary has them or not.
+    The root is node 0.  Single bytes are pieces, whether the vocabulary has them or not.
     """
 
-    def __init__(self, vocab: list[bytes], longest: int = 16):
+    def __init__(self, vocab: list[bytes]):
         children: list[dict[int, int]] = [{}]
-        piece: list[int] = [-1]
-        self.count = 0
-        for p in dict.fromkeys([bytes([b]) for b in range(256)] + [p for p in vocab if p and len(p) <= longest]):
+        ends: list[int] = [-1]
+        self.count = self.longest = 0
+        for p in dict.fromkeys([bytes([b]) for b in range(256)] + [p for p in vocab if p]):
             at = 0
             for b in p:
                 to = children[at].get(b)
                 if to is None:
                     to = children[at][b] = len(children)
                     children.append({})
-                    piece.append(-1)
+                    ends.append(-1)
                 at = to
-            piece[at] = self.count
+            ends[at] = self.count
             self.count += 1
-        self.child = np.full((len(children), 256), -1, np.int32)
-        for v, kids in enumerate(children):
-            for b, c in kids.items():
-                self.child[v, b] = c
-        self.child = self.child.ravel()
-        self.piece = np.array(piece, np.int32)
-
-    def spans(self, letters: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(begin, end, rows, pieces) of all pieces in words `letters` (a row each, of so many bytes), by rising begin."""
-        for i in range(letters.shape[1]):
-            rows = np.flatnonzero(size > i)
-            node = np.zeros(len(rows), np.int64)
-            for j in range(i, letters.shape[1]):
-                if j > i:
-                    keep = size[rows] > j
-                    rows, node = rows[keep], node[keep]
-                node = self.child[node * 256 + letters[rows, j]]
-                keep = node >= 0
-                rows, node = rows[keep], node[keep].astype(np.int64)
-                if not len(rows):
-                    break
-                found = self.piece[node]
-                hit = found >= 0
-                yield i, j + 1, rows[hit], found[hit]
-
-
-def letters_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with a space before them as rows of bytes, their sizes, and the word each row is a part of."""
-    size = end - start + 1
-    parts = -(-size // MOST)
-    word = np.repeat(np.arange(len(size)), parts)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-    width = np.minimum(size[word] - nth * MOST, MOST)
-    out = np.zeros((len(word), int(width.max(initial=1))), np.uint8)
-    for i in range(out.shape[1]):
-        at = start[word] + nth * MOST + i - 1
-        out[:, i] = np.where(at < start[word], 32, data[np.clip(at, 0, max(0, len(data) - 1))]) if len(data) else 32
-    return out, width, word
-
-
-def log_likelihoods(vocab: Pieces, chance: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+            self.longest = max(self.longest, len(p))
+        # nodes with many children first, each at one of the first bases that are free for all its children, or else behind all others
+        size = 512 * (1 + sum(len(c) > 1 for c in children)) + 2 * len(children)
+        taken = bytearray(size)
+        taken[0] = 1
+        kids = {v: sorted(c) for v, c in enumerate(children) if c}
+        base_of: dict[int, int] = {}
+        free, last = 1, 0
+        for v in sorted(kids, key=lambda v: -len(kids[v])):
+            while taken[free]:
+                free += 1
+            low = max(1, free - kids[v][0])
+            if len(kids[v]) == 1:
+                while taken[low + kids[v][0]]:
+                    low += 1
+            else:
+                fits = (x for x in range(low, low + 30) if not any(taken[x + b] for b in kids[v]))
+                low = next(fits, max(1, last + 1 - kids[v][0]))
+            base_of[v] = low
+            for b in kids[v]:
+                taken[low + b] = 1
+            last = max(last, low + kids[v][-1])
+        self.base, self.owner, self.piece = (np.full(last + 512, -1, np.int32) for _ in range(3))
+        place = [0] * len(children)
+        for v, c in enumerate(children):  # parents stand before their children
+            self.piece[place[v]] = ends[v]
+            if v in base_of:
+                self.base[place[v]] = base_of[v]
+                for b, k in c.items():
+                    place[k] = base_of[v] + b
+                    self.owner[place[k]] = place[v]
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The next nodes, -1 where there is none."""
+        base = self.base[node]
+        to = np.maximum(base, 0) + byte
+        return np.where((base >= 0) & (self.owner[to] == node), to, -1)
+
+    def spans(self, letter, i: int, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(end, rows, pieces) of the pieces that begin at byte i of words of so many bytes; letter(rows, j) is their byte j."""
+        rows = np.flatnonzero(size > i)
+        node = np.zeros(len(rows), np.int64)
+        for j in range(i, i + self.longest):
+            if j > i:
+                keep = size[rows] > j
+                rows, node = rows[keep], node[keep]
+            node = self.step(node, letter(rows, j))
+            keep = node >= 0
+            rows, node = rows[keep], node[keep]
+            if not len(rows):
+                break
+            found = self.piece[node]
+            hit = found >= 0
+            if hit.any():
+                yield j + 1, rows[hit], found[hit]
+
+
+def _letters(data: np.ndarray, start: np.ndarray):
+    """Bytes of words with a space before them."""
+    return lambda rows, j: data[start[rows] + j - 1].astype(np.int64) if j else np.full(len(rows), 32, np.int64)
+
+
+def log_likelihoods(vocab: Pieces, chance: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, most_cells: int = 2_000_000) -> np.ndarray:
     """Natural log of each word's probability in each language; chance has a row for each piece."""
     total = np.zeros((len(start), chance.shape[1]))
-    letters, size, word = letters_of(data, start, end)
-    for low in range(0, len(word), 50_000):
-        part = slice(low, low + 50_000)
-        # words of like sizes together, so that short ones don't carry long ones' columns
-        order = np.argsort(size[part], kind="stable")
-        for rows in np.array_split(order, max(1, len(order) // 5_000)):
-            w, n = letters[part][rows], size[part][rows]
-            w = w[:, : int(n.max())]
-            forward = np.zeros((w.shape[1] + 1, len(n), chance.shape[1]))
-            forward[0] = 1.0
-            for i, j, at, piece in vocab.spans(w, n):
-                forward[j, at] += forward[i, at] * chance[piece]
-            np.add.at(total, word[part][rows], np.log(forward[n, np.arange(len(n))]))
+    size = end - start + 1
+    order = np.argsort(size, kind="stable")  # words of like sizes together
+    at_once = max(1, most_cells // ((STEP + vocab.longest + 1) * max(1, chance.shape[1])))
+    for low in range(0, len(order), at_once):
+        rows = order[low : low + at_once]
+        total[rows] = _forward(vocab, chance, _letters(data, start[rows]), size[rows])
     return total
 
 
+def _forward(vocab: Pieces, chance: np.ndarray, letter, size: np.ndarray) -> np.ndarray:
+    """Logs of the words' sums.  `size` rises, and `sums` has the bytes from `low` on of the words that go beyond it."""
+    out = np.zeros((len(size), chance.shape[1]))
+    most = int(size[-1])
+    reach = min(vocab.longest, most)
+    first = 0  # words before it have ended
+    sums = np.zeros((STEP + reach + 1, len(size), chance.shape[1]))
+    sums[0] = 1.0
+    for low in range(0, most, STEP):
+        own = size[first:]
+        for i in range(low, min(low + STEP, most)):
+            for j, rows, piece in vocab.spans(lambda r, j: letter(r + first, j), i, own):
+                sums[j - low, rows] += sums[i - low, rows] * chance[piece]
+        ended = int(np.searchsorted(own, low + STEP, "right"))
+        out[first : first + ended] += np.log(sums[own[:ended] - low, np.arange(ended)])
+        first += ended
+        if first == len(size):
+            break
+        sums = np.concatenate([sums[STEP:, ended:], np.zeros((STEP, len(size) - first, chance.shape[1]))])
+        scale = sums.max(axis=0)
+        sums /= scale
+        out[first:] += np.log(scale)
+    return out
+
+
 def learn(vocab: Pieces, words: list[bytes], counts: np.ndarray, rounds: int = 4, smoothing: float = 0.02) -> np.ndarray:
     """Piece probabilities, a column for each column of `counts` (words by languages)."""
     data = np.frombuffer(b"".join(words), np.uint8)
-    size = np.array([len(w) for w in words], np.int64)
-    end = np.cumsum(size)
-    letters, width, word = letters_of(data, end - size, end)
+    width = np.array([len(w) for w in words], np.int64)
+    start, size = np.cumsum(width) - width, width + 1
     languages = counts.shape[1]
     chance = np.full((vocab.count, languages), 1.0 / vocab.count)
+    short, long = np.flatnonzero(size <= SHORT), np.flatnonzero(size > SHORT)
+    short = short[np.argsort(size[short], kind="stable")]
+    groups = [rows for rows in np.array_split(short, max(1, len(short) // 5_000)) if len(rows)]
+
+    def spans(rows: np.ndarray) -> list:
+        return [(i, *x) for i in range(int(size[rows].max())) for x in vocab.spans(_letters(data, start[rows]), i, size[rows])]
+
     for _ in range(rounds):
         expected = np.zeros((vocab.count, languages))
-        order = np.argsort(width, kind="stable")
-        for rows in np.array_split(order, max(1, len(order) // 5_000)):
-            w, n = letters[rows], width[rows]
-            w = w[:, : int(n.max(initial=1))]
-            spans = list(vocab.spans(w, n))
-            forward = np.zeros((w.shape[1] + 1, len(n), languages))
+        for rows in groups:
+            n, found = size[rows], spans(rows)
+            forward = np.zeros((int(n.max()) + 1, len(n), languages))
             backward = np.zeros_like(forward)
             forward[0] = 1.0
             backward[n, np.arange(len(n))] = 1.0
-            for i, j, at, piece in spans:
+            for i, j, at, piece in found:
                 forward[j, at] += forward[i, at] * chance[piece]
-            for i, j, at, piece in reversed(spans):
+            for i, j, at, piece in reversed(found):
                 backward[i, at] += backward[j, at] * chance[piece]
-            weight = counts[word[rows]] / np.maximum(backward[0], 1e-300)
-            for i, j, at, piece in spans:
+            weight = counts[rows] / np.maximum(backward[0], 1e-300)
+            for i, j, at, piece in found:
                 np.add.at(expected, piece, forward[i, at] * chance[piece] * backward[j, at] * weight[at])
+        logs = np.log(chance) if len(long) else chance
+        for row in long:
+            found = [(i, j, piece[0]) for i, j, _, piece in spans(np.array([row]))]
+            forward = np.full((size[row] + 1, languages), -np.inf)
+            backward = forward.copy()
+            forward[0], backward[-1] = 0.0, 0.0
+            for i, j, piece in found:
+                forward[j] = np.logaddexp(forward[j], forward[i] + logs[piece])
+            for i, j, piece in reversed(found):
+                backward[i] = np.logaddexp(backward[i], backward[j] + logs[piece])
+            for i, j, piece in found:
+                expected[piece] += counts[row] * np.exp(forward[i] + logs[piece] + backward[j] - backward[0])
         expected += smoothing
         chance = expected / expected.sum(axis=0)
     return chance
 
 
-def training_words(texts: list[str], languages: list[str], names: list[str]) -> tuple[list[bytes], np.ndarray]:
+def training_words(texts: pa.Array, languages: list[str], names: list[str]) -> tuple[list[bytes], np.ndarray]:
     """Distinct lower-cased words of whole texts, and how often each stands in each language."""
     seen: dict[bytes, int] = {}
     rows: list[tuple[int, int]] = []
-    for t, lang in zip(texts, languages, strict=True):
+    for t, lang in zip(pc.utf8_lower(texts).to_pylist(), languages, strict=True):
         column = names.index(lang)
-        for w in t.lower().encode().split():
+        for w in t.encode().split():
             rows.append((seen.setdefault(w, len(seen)), column))
     counts = np.zeros((len(seen), len(names)))
     if rows:
@@ -148,51 +207,42 @@ def training_words(texts: list[str], languages: list[str], names: list[str]) ->
     return list(seen), counts
 
 
-_vocabularies: dict[int, Pieces] = {}
-
-
-def _vocabulary(vocab: list[bytes]) -> Pieces:
-    key = hash(tuple(vocab))
-    if key not in _vocabularies:
-        _vocabularies.clear()
-        _vocabularies[key] = Pieces(vocab)
-    return _vocabularies[key]
+def _drawn(usable: DataFrame, rows_each: int) -> tuple[list[str], pa.Array]:
+    """Languages and texts of about `rows_each` distinct rows of each language, the same in any run."""
+    sizes = usable.groupBy("lang").count().collect()  # a row for each language
+    if not sizes:
+        return [], pa.array([], pa.string())
+    # a place for each id and text, the same for any input; a language's share below it makes about rows_each rows
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(1_000_000_007)) / 1_000_000_007.0
+    share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_each / r["count"])))]), F.col("lang"))
+    drawn = usable.withColumn("place", place).filter(F.col("place") < share).dropDuplicates(["lang", "doc_id", "text"])
+    # twice as many at most, should repeated rows have made the shares too large
+    drawn = drawn.orderBy("place", "lang", "text").select("lang", "text").limit(2 * rows_each * len(sizes)).toArrow()
+    order = np.argsort(np.array([f"{a}\0{b}" for a, b in zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), strict=True)], object), kind="stable")
+    return [drawn.column(0)[int(i)].as_py() for i in order], drawn.column(1).combine_chunks().take(pa.array(order))
 
 
-def identify(
-    docs: DataFrame, vocab: list[bytes], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", mod: int = 4, remainder: int = 2, rows_each: int = 400, languages: int = 200
-) -> DataFrame:
+def identify(docs: DataFrame, vocab: list[bytes], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", mod: int = 4, remainder: int = 2, rows_each: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row.
 
     Rows whose crc32(id) modulo `mod` is `remainder`, and rows without an id, a text or a language, are not learned
-    from.  About `rows_each` whole texts of each language (a fixed bound, drawn by a hash of the id) train, of the
-    `languages` most frequent ones; every text is scored.  score is the language's posterior chance with equal priors;
-    a text without a letter, or a null one, is `und` with score 0, and so is every text if nothing could be learned.
+    from.  About `rows_each` whole texts of each language (a fixed bound, drawn by a hash of id and text) train; every
+    text is scored.  score is the language's posterior chance with equal priors; of languages with equal chances the
+    first by name is taken.  A text without a letter, or a null one, is `und` with score 0, and so is every text if
+    nothing could be learned.  Repeated rows are scored alike.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     held = F.coalesce(crc_mod("doc_id", mod) == remainder, F.lit(False))
     usable = source.filter(~held & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    names = sorted(r["lang"] for r in sizes)
-    texts: list[str] = []
-    langs: list[str] = []
-    if names:
-        # a place for each id, the same for any input; a language's share below it makes about rows_each rows
-        draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000_007)) / 1_000_000_007.0
-        share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_each / r["count"])))]), F.col("lang"))
-        drawn = usable.filter(F.col("lang").isin(names)).filter(draw < share).select("lang", "text").limit(2 * rows_each * len(names)).toArrow()
-        order = np.argsort(np.array([f"{a}\0{b}" for a, b in zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), strict=True)], object), kind="stable")
-        langs = [drawn.column(0)[int(i)].as_py() for i in order]
-        texts = [drawn.column(1)[int(i)].as_py() for i in order]
-        names = sorted(set(langs))
-    chance = learn(Pieces(vocab), *training_words(texts, langs, names)) if names else np.zeros((0, 0))
-    shared = spark.sparkContext.broadcast((vocab, names, chance))
+    langs, texts = _drawn(usable, rows_each)
+    names, trie = sorted(set(langs)), Pieces(vocab)
+    chance = learn(trie, *training_words(texts, langs, names)) if names else np.zeros((0, 0))
+    shared = spark.sparkContext.broadcast((trie, names, chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, names, chance = shared.value
-        trie = _vocabulary(vocab)
+        trie, names, chance = shared.value
         for batch in pieces(batches, "text"):
             t = pc.utf8_lower(batch.column("text"))
             n = batch.num_rows

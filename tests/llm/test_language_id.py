@@ -7,6 +7,7 @@ import pytest
 from terrapane.llm.language_id import Pieces, identify, learn, log_likelihoods
 from terrapane.llm.registry import op2_language_id, vocabulary_path
 from terrapane.llm.token_counts import vocabulary
+from tests.llm.conftest import frame
 
 
 def test_forward_sums_all_segmentations():
@@ -18,19 +19,72 @@ def test_forward_sums_all_segmentations():
     for piece in [bytes([b]) for b in range(256)] + [b"ab", b"abc", b"bc", b" a", b"ca"]:
         node = 0
         for b in piece:
-            node = vocab.child[node * 256 + b]
+            node = vocab.step(np.array([node]), np.array([b]))[0]
         table[piece] = chance[vocab.piece[node]]
 
     @cache
     def total(word: bytes, k: int) -> float:
         return 1.0 if not word else sum(table[word[:i]][k] * total(word[i:], k) for i in range(1, len(word) + 1) if word[:i] in table)
 
-    words = [b"abcab", b"a", b"cabca", b"bbbb"]
+    words = [b"abcab", b"a", b"cabca", b"bbbb", b"abcabca" * 9, b"ab" * 20 + b"z", b"b" * 16, b"c" * 15]
     data = np.frombuffer(b"".join(words), np.uint8)
     end = np.cumsum([len(w) for w in words])
     got = log_likelihoods(vocab, chance, data, end - [len(w) for w in words], end)
     want = [[math.log(total(b" " + w, k)) for k in (0, 1)] for w in words]
-    assert np.allclose(got, want)
+    assert np.allclose(got, want, rtol=1e-12)
+
+
+def test_words_of_any_length_neither_underflow_nor_are_cut():
+    """At a chance of 1e-9 a byte, far below a double's range after 40 bytes: the log is that of all bytes."""
+    vocab = Pieces([b"q" * 100])
+    chance = np.full((vocab.count, 2), 1e-9)
+    chance[:, 1] = 2e-9
+    for word in (b"x" * 39, b"x" * 40, "ü".encode() * 700, b"x" * 5000):
+        data = np.frombuffer(word, np.uint8)
+        got = log_likelihoods(vocab, chance, data, np.array([0]), np.array([len(word)]))[0]
+        assert np.allclose(got, (len(word) + 1) * np.log([1e-9, 2e-9]), rtol=1e-12)
+    # the longest piece of the vocabulary counts, whole
+    data = np.frombuffer(b"q" * 100, np.uint8)
+    chance[256] = 0.5  # pieces stand in the order of single bytes and then the vocabulary
+    got = log_likelihoods(vocab, chance, data, np.array([0]), np.array([100]))[0]
+    assert np.allclose(got, np.log([1e-9 * 0.5, 2e-9 * 0.5]))
+
+
+def test_expected_counts_by_brute_force():
+    """One round of learning from even chances: each segmentation counts by its share of all."""
+    pieces = [b"ab", b"abc", b"bc", b" a"]
+    vocab = Pieces(pieces)
+    names = [bytes([b]) for b in range(256)] + pieces
+
+    def segmentations(w):
+        return [[]] if not w else [[p, *rest] for p in names if w.startswith(p) for rest in segmentations(w[len(p) :])]
+
+    words, counts = [b"abc", b"abab", b"abcabcabcabcabcabcabcabcabcabcabcabc"[:8]], np.array([[2.0, 1.0], [1.0, 0.0], [3.0, 3.0]])
+    expected = np.zeros((len(names), 2))
+    for w, c in zip(words, counts):
+        all_ = segmentations(b" " + w)
+        weight = np.array([(1 / len(names)) ** len(s) for s in all_])
+        for s, x in zip(all_, weight / weight.sum()):
+            for p in s:
+                expected[names.index(p)] += x * c
+    expected += 0.02
+    want = expected / expected.sum(axis=0)
+    assert np.allclose(learn(vocab, words, counts, 1), want)
+    # a long word goes another way through the same sums
+    import terrapane.llm.language_id as module
+
+    before, module.SHORT = module.SHORT, 4
+    try:
+        assert np.allclose(learn(vocab, words, counts, 1), want)
+    finally:
+        module.SHORT = before
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any cut on their number would keep: each is found again."""
+    rows = [(i * 4 + k, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + k)}zz" for _ in range(30)), f"l{i:03}", "s", 0) for i in range(230) for k in range(3)]
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(frame(spark, rows), [], rows_each=3).collect()}
+    assert len(set(got.values())) > 200
 
 
 def test_learning_raises_the_likelihood():

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,8 @@ def staged(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: lineage ends there, and losing executors costs nothing."""
     spark = df.sparkSession
     path = temporary_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -179,8 +182,22 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint8)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 512 << 10) -> Iterator[pa.RecordBatch]:
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def tidy() -> None:
+    """Gives memory that nothing uses back to the system: idle workers share an executor's memory with its other processes."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 512 << 10, tidied: int = 32 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about `most` bytes of text, so that work arrays stay small."""
+    done = 0
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -189,9 +206,27 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 512 << 10)
         at = np.cumsum(sizes)
         i = 0
         while i < n:
-            j = max(i + 1, int(np.searchsorted(at, (at[i - 1] if i else 0) + most, "right")))
+            low = int(at[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(at, low + most, "right")))
             yield batch.slice(i, j - i)
+            done += int(at[j - 1]) - low
+            if done > tidied:
+                tidy()
+                done = 0
             i = j
+    tidy()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Inside it, at most so many rows travel to a Python worker at once, so that a batch of long texts stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def sums_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import _BASE, _IS_SPACE, _OTHER, Words, pieces, release, run_hashes, staged, sums_by_text
+from terrapane.llm.common import _BASE, _IS_SPACE, _OTHER, Words, pieces, release, run_hashes, small_batches, staged, sums_by_text
 
 MAGIC = b"TPR1"
 SCALE = 20
@@ -398,11 +398,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, doc_id: str =
     # the row's number lets equal ids and texts fall to several ranges
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "ids")
     counts = rows.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counts.coalesce(1).write.parquet(f"{path}/table")
+    with small_batches(spark):
+        counts.coalesce(1).write.parquet(f"{path}/table")
     freq = spark.sparkContext.broadcast(_counts(spark, path))
     ordered = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
     schema = f"part int, block long, before long, doc_ids array<{name}>, sizes array<long>, n_tokens long, data binary"
-    ordered.select("doc_id", "n_tokens", "ids").mapInArrow(_code(freq, kind), schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    with small_batches(spark):
+        ordered.select("doc_id", "n_tokens", "ids").mapInArrow(_code(freq, kind), schema).write.option("compression", "none").parquet(f"{path}/blocks")
     release(rows)
     shared.destroy()
     freq.destroy()

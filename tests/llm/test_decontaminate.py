@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from terrapane.llm.decontaminate import MASKS, SHAPES, SPAN, contamination, decontaminated
+from terrapane.llm.decontaminate import SHAPES, SHORTEST, contamination, decontaminated, parts
 from tests.llm.conftest import ODD, frame
 
 PUNCT = re.compile(r"[!-/:-@\[-`{-~]+")
@@ -17,12 +17,12 @@ def words(t):
 def brute(text, item, window=13, share=0.8):
     a, b = words(text), words(item)
     best = 0.0
+    if len(b) < SHORTEST:
+        return 0.0
     for lie in range(-len(b), len(a)):
         same = [0 <= i + lie < len(a) and b[i] == a[i + lie] for i in range(len(b))]
-        seeds = any(i + lie >= 0 and i + lie + SPAN <= len(a) and any(all(same[i + o] for o in m) for m in MASKS) for i in range(len(b) - SPAN + 1))
-        if seeds:
-            w = min(window, len(b))
-            best = max(best, max(sum(same[i : i + w]) for i in range(len(b) - w + 1)) / w)
+        w = min(window, len(b))
+        best = max(best, max(sum(same[i : i + w]) for i in range(len(b) - w + 1)) / w)
     return best if best >= share else 0.0
 
 
@@ -30,7 +30,7 @@ def brute(text, item, window=13, share=0.8):
 def cases():
     r = random.Random(7)
     vocab = [f"v{i}" for i in range(60)]
-    items = [(i, " ".join(r.choice(vocab) for _ in range(n))) for i, n in enumerate([30, 8, 9, 7, 20, 14, 0, 25])] + [(None, " ".join(r.choice(vocab) for _ in range(16))), (9, None)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(n))) for i, n in enumerate([30, 8, 9, 7, 20, 14, 0, 25, 3, 5, 6, 2])] + [(None, " ".join(r.choice(vocab) for _ in range(16))), (99, None), (98, "v1 v2"), (97, "v9 v8 v7"), (96, "V9, v8 v7!")]
     docs = []
     for i in range(150):
         text = [r.choice(vocab) for _ in range(r.randrange(0, 60))]
@@ -94,3 +94,31 @@ def test_adjacent_and_outer_changes(spark):
     for seeds in (300_000, 0):
         got = {r["doc_id"]: r["items"] for r in contamination(frame(spark, docs), bench, broadcast_seeds=seeds).collect()}
         assert got == {d: [n] for d, *_, n in docs}
+
+
+@pytest.mark.parametrize("n", range(3, 8))
+def test_parts_of_short_items_are_complete(n):
+    lost = max(k for k in range(n) if (n - k) / n >= 0.8)
+    assert sorted(x for p in parts(n, 0.8) for x in p) == list(range(n))
+    for bad in combinations(range(n), lost):
+        assert any(not set(p) & set(bad) for p in parts(n, 0.8))
+
+
+def test_short_items_and_texts(spark):
+    """Items of three to seven words, with the one change that five and more allow, in texts that may be as short."""
+    items = [(n, " ".join(f"s{n}w{k}" for k in range(n))) for n in range(1, 9)]
+    docs, want = [], {}
+    for n, item in items[2:]:
+        w = item.split()
+        for bad in [None, *range(n)]:
+            copy = " ".join("other" if k == bad else x for k, x in enumerate(w))
+            for t in (copy, f"before {copy}", f"{copy} after that"):
+                docs.append((len(docs), t, "en", "s", 0))
+                if bad is None or n >= 5:
+                    want[len(docs) - 1] = [n]
+    docs.append((len(docs), " ".join(f"s8w{k}" for k in range(7)), "en", "s", 0))
+    want[len(docs) - 1] = [8]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for seeds in (300_000, 0):
+        got = {r["doc_id"]: r["items"] for r in contamination(frame(spark, docs), bench, broadcast_seeds=seeds).collect()}
+        assert got == want

@@ -151,25 +151,34 @@ def _joined_scores(urls: DataFrame, counts: DataFrame, strength: float = 4.0) ->
     return found.join(per, "w").groupBy("key").agg((F.sum("ratio") / F.max("bytes")).alias("score"))
 
 
-def threshold(good: np.ndarray, bad: np.ndarray) -> float:
-    """The cut with the least sum of both classes' error rates; 0 where a class is missing.  Of equal cuts, the one nearest 0."""
-    if not len(good) or not len(bad):
+#: Scores are counted in bins of 1/FINE, those beyond FAR either way in the outermost.
+FINE, FAR = 4096, 16
+
+
+def threshold(bins: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The cut with the least sum of both classes' error rates; 0 where a class is missing.  Of equal cuts, the one nearest 0.
+
+    Bin b, of which there are so many good and bad ones, holds the scores above (b - 1) / FINE up to b / FINE.
+    """
+    if not good.sum() or not bad.sum():
         return 0.0
-    good, bad = np.sort(good), np.sort(bad)
-    both = np.unique(np.concatenate([good, bad]))
-    cuts = np.concatenate([[both[0] - 1], (both[1:] + both[:-1]) / 2, [both[-1] + 1], [0.0]])
-    error = np.searchsorted(good, cuts) / len(good) + 1 - np.searchsorted(bad, cuts) / len(bad)
+    order = np.argsort(bins)
+    bins, good, bad = bins[order], good[order], bad[order]
+    cuts = np.unique(np.concatenate([bins, bins - 1, [0]]))
+    below = np.searchsorted(bins, cuts, "right")  # bins whose scores are up to the cut
+    error = np.append(0, np.cumsum(good))[below] / good.sum() + 1 - np.append(0, np.cumsum(bad))[below] / bad.sum()
     best = cuts[error <= error.min() + 1e-12]
-    return float(best[np.argmin(np.abs(best))])
+    return float(best[np.argmin(np.abs(best))]) / FINE
 
 
-def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES, calibration_rows: int = 20_000, most_counts: int = MOST_COUNTS) -> DataFrame:
+def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES, most_counts: int = MOST_COUNTS) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row.
 
     score is the length-normalised log-likelihood difference; above the threshold the method allows.  URLs that a
-    rule decides teach the models, but for a fifth, by a hash of the URL, of which about `calibration_rows` (a fixed
-    bound, drawn by another hash) set the threshold.  A null URL, or one without ://, has empty host and path, no
-    rule, and is scored as the empty URL or as it stands.  Repeated URLs get equal verdicts.
+    rule decides teach the models, but for a fifth, by a hash of the URL, all of which set the threshold.  A null
+    URL, or one without ://, has empty host and path, no rule, and is scored as the empty URL or as it stands.
+    Repeated URLs get equal verdicts.  An empty table gives no rows.  `most_counts` bounds the counts that are
+    broadcast; with any value the scores are the same.
     """
     spark = pages.sparkSession
     kind = pages.schema[page_id].dataType.simpleString()
@@ -195,15 +204,14 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: t
         return run
 
     held = taught.filter(fold == 0)
-    total = held.count()
-    draw = F.pmod(F.xxhash64("url", F.lit(3)), F.lit(1_000_003)) / 1_000_003.0
-    held = held.filter(draw < min(1.0, calibration_rows / max(1, total))).limit(2 * calibration_rows)
     if small:
-        marks = held.mapInArrow(scored(["good"]), "good int, score double").toArrow()
+        marks = held.mapInArrow(scored(["good"]), "good int, score double")
     else:
-        marks = held.withColumn("key", F.xxhash64("url")).join(by_url, "key").select("good", "score").toArrow()
-    good, score = marks.column("good").to_numpy(), marks.column("score").to_numpy()
-    cut = threshold(score[good == 1], score[good == 0])
+        marks = held.withColumn("key", F.xxhash64("url")).join(by_url, "key").select("good", "score")
+    fine = F.ceil(F.least(F.greatest("score", F.lit(-float(FAR))), F.lit(float(FAR))) * FINE)
+    marks = marks.groupBy(fine.alias("bin")).agg(F.sum("good").alias("good"), F.count(F.lit(1)).alias("n")).toArrow()  # at most 2 * FAR * FINE + 1 rows
+    bins, good, n = (marks.column(c).to_numpy() for c in ("bin", "good", "n"))
+    cut = threshold(bins, good, n - good)
     if small:
         out = rows.mapInArrow(scored(["page_id", "host", "path", "rule", "ruled"]), f"page_id {kind}, host string, path string, rule string, ruled string, score double")
     else:

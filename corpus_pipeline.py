@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from terrapane.llm.common import documents, release, staged
 from terrapane.llm.decontaminate import decontaminated
 from terrapane.llm.mixing import mixed
-from terrapane.llm.near_duplicates import near_duplicates, text_node
-from terrapane.llm.quality_rules import quality_rules
+from terrapane.llm.near_duplicates import near_duplicates, small, text_node
+from terrapane.llm.quality_rules import passing
 from terrapane.llm.registry import tokens_written
 
 #: No SQL: alignments and the tokenizer are beyond it.  tests/llm compares run() with a brute-force version.
@@ -22,8 +22,8 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    """Documents that fail no rule.  Null and empty texts fail; repeated rows stay or go together; an empty table stays empty."""
+    return passing(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,26 +35,38 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     marks = staged(marks.agg(F.count(F.lit(1)).alias("_rows"), F.sum(F.col("kept").cast("long")).alias("_stay")), "marks")
     named = docs.withColumn("_key", text_node("text"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_key").eqNullSafe(F.col("_found"))
-    left = named.join(marks.filter("_stay = 0"), same, "left_anti")
+    left = named.join(small(marks.filter("_stay = 0")), same, "left_anti")
     again = marks.filter("_stay > 0 AND _rows > _stay")
     if again.take(1):  # repeated rows
+        again = small(again)
         one = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"])
         left = left.join(again, same, "left_anti").unionByName(one)
     return left.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark.
+
+    Null texts hold none.  Rows with one id have verdicts of their own texts.  An empty benchmark or table changes nothing.
+    """
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(~F.col("contaminated")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: not at all, once, or up to three times.
+
+    A null source is a source of its own.  Null and empty texts have no words; they are taken by their hash alike.
+    An empty table stays empty.
+    """
     return mixed(docs)
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, read back from its token files."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from its token files.
+
+    Null ids come first, a null text has its end token only, repeated rows stand one after another.  An empty table
+    makes files without blocks and a result without rows.
+    """
     return tokens_written(docs)
 
 

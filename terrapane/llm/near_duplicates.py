@@ -387,7 +387,7 @@ def components(links: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """`df`, to be broadcast if it is known to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -437,7 +437,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = staged(_verified(pairs, source, similarity), "links")
     roots = components(links)
     # the buckets that still hold several classes
-    classed = shared.select("key", "node").join(_small(roots), "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    classed = shared.select("key", "node").join(small(roots), "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
     mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("key")
     members = staged(classed.join(mixed, "key").join(named.select("node", "n"), "node"), "members")
     sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("salts"))
@@ -452,12 +452,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         higher = components(further).select(F.col("node").alias("root"), F.col("root").alias("top"))
         # a class of one has no row in roots: it is its own root
         alone = higher.select(F.col("root").alias("node"), "top").join(roots, "node", "left_anti").select("node", F.col("top").alias("root"))
-        merged = roots.join(_small(higher), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone)
+        merged = roots.join(small(higher), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(alone)
         before, roots = roots, staged(merged, "components")
         release(before)
     # a node's copies first, then the classes, of which only those of several rows need a look
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("class_id"), F.col("row").alias("first"))).alias("least")
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(least, F.count(F.lit(1)).alias("rows")).join(_small(roots), "node", "left")
+    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(least, F.count(F.lit(1)).alias("rows")).join(small(roots), "node", "left")
     nodes = staged(nodes.select("node", F.coalesce("root", "node").alias("root"), "least", "rows"), "classes")
     classes = nodes.groupBy("root").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("nodes"), F.sum("rows").alias("all")).filter("all > 1")
     total = rows.count()
@@ -482,7 +482,7 @@ def _by_block(df: DataFrame) -> DataFrame:
 
 def _codes(source: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and enc, the words' codes, of the texts of `nodes`."""
-    texts = source.select("node", "text").join(_small(nodes), "node", "left_semi").dropDuplicates(["node"])
+    texts = source.select("node", "text").join(small(nodes), "node", "left_semi").dropDuplicates(["node"])
     return texts.mapInArrow(_code_rows, "node long, enc binary")
 
 

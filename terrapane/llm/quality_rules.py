@@ -1,13 +1,15 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a Boolean expression that rejects a text.  On a bounded sample the
-cascade measures what a rule costs and how much it rejects, then evaluates the
-rules in the order of rejections per cost inside one CASE expression, which stops
-at the first rule that holds.  The order changes the time, never the verdict.
+Each rule is a Boolean expression that rejects a text.  On a bounded sample, drawn by
+a hash, the cascade measures what a rule costs and which rows it rejects.  It takes
+the rule with the most rejections per cost, then the best one for the rows that are
+left, and so on, and evaluates the rules in that order inside one CASE expression,
+which stops at the first that holds.  The order changes the time, never the verdict.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from dataclasses import dataclass
 
@@ -60,43 +62,78 @@ def repeated_words(words: str) -> Column:
     )
 
 
-def base_columns(docs: DataFrame, text: str = "text") -> DataFrame:
+def base_columns(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFrame:
     """`docs` with t (the text, null as empty), n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words.
 
-    A null or empty text has no words and zeros everywhere.  Equal rows get equal values.
+    A null or empty text has no words and zeros everywhere.  Equal rows get equal values.  Without `repeats` the words
+    stay as _words instead of n_repeat_words, which costs as much as all others.
     """
     lines = f"filter(split(t, '\n'), x -> length(trim(BOTH '{SPACE_CHARS}' FROM x)) > 0)"
     out = docs.withColumn("t", F.coalesce(F.col(text), F.lit(""))).withColumn("_words", words_of("t")).withColumn("_lines", F.expr(lines))
-    return out.withColumns(
+    out = out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace("t", f"[^{SYMBOLS}]+", "")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words("_words"),
         }
-    ).drop("_words", "_lines")
+    ).drop("_lines")
+    return out.withColumn("n_repeat_words", repeated_words("_words")).drop("_words") if repeats else out
+
+
+#: Times that a rule is evaluated on each row of the sample in one job, and jobs of which the fastest counts.
+TIMES, RUNS = 30, 3
+
+
+def greedy(rules: tuple[Rule, ...], costs: list[float], rejected: dict[tuple[bool, ...], int]) -> list[tuple[Rule, float]]:
+    """The rules in the order of rejections per cost, each among rows that no rule before it rejects, with that share of those.
+
+    `rejected` says of how many rows the sample has for each set of rules that reject them.
+    """
+    left, out = list(range(len(rules))), []
+    while left:
+        hits = {i: sum(n for by, n in rejected.items() if by[i]) for i in left}
+        best = max(left, key=lambda i: (hits[i] / costs[i], -costs[i], -i))
+        out.append((rules[best], hits[best] / max(1, sum(rejected.values()))))
+        rejected = {by: n for by, n in rejected.items() if not by[best]}
+        left.remove(best)
+    return out
+
+
+def costs(sample: DataFrame, rules: tuple[Rule, ...], n: int) -> list[float]:
+    """Seconds a row of each rule, rounded to a power of four, so that noise doesn't order rules of like cost.
+
+    A job evaluates the rule on each row many times, and the same job without the rule is taken off.
+    """
+    many = sample.withColumn("_time", F.explode(F.sequence(F.lit(1), F.lit(TIMES))))
+
+    def seconds(condition: str) -> float:
+        took = []
+        query = many.agg(F.count(F.when(F.expr(condition) & (F.col("_time") > 0), 1)))
+        for _ in range(RUNS + 1):  # the first compiles
+            began = time.perf_counter()
+            query.collect()
+            took.append(time.perf_counter() - began)
+        return min(took[1:])
+
+    idle = seconds("length(t) < 0")
+    found = [max(seconds(r.rejects) - idle, 0.0) / (n * TIMES) for r in rules]
+    least = max(1e-6, 0.02 / (n * TIMES))  # below it a job's time says nothing
+    return [4.0 ** round(math.log(max(x, least), 4)) for x in found]
 
 
 def ordered(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
-    """The rules by rejections per cost on `sample`, each with its share of rejected rows and its seconds a row.
+    """The rules in the cascade's order on `sample`, each with its share of the rows that come to it and its seconds a row.
 
     `sample` has t and the base columns and is small and cached.  On an empty sample the rules keep their order.
     """
-    n = sample.count()
+    sets = sample.groupBy(*[F.expr(r.rejects).alias(f"r{i}") for i, r in enumerate(rules)]).count().collect()  # at most 2^rules rows
+    n = sum(r["count"] for r in sets)
     if not n:
         return [(r, 0.0, 0.0) for r in rules]
-
-    def measured(condition: str) -> tuple[float, float]:
-        query = sample.agg(F.count(F.when(F.expr(condition), 1)))
-        query.collect()  # compiles
-        began = time.perf_counter()
-        hits = query.collect()[0][0]
-        return hits / n, (time.perf_counter() - began) / n
-
-    idle = measured("length(t) < 0")[1]
-    found = [(r, share, max(cost - idle, 1e-9)) for r in rules for share, cost in [measured(r.rejects)]]
-    return sorted(found, key=lambda x: -x[1] / x[2])
+    each = costs(sample, rules, n)
+    by = dict(zip(rules, each, strict=True))
+    return [(r, share, by[r]) for r, share in greedy(rules, each, {tuple(bool(x) for x in r[:-1]): r["count"] for r in sets})]
 
 
 def cascade(rules: list[Rule]) -> Column:
@@ -107,25 +144,54 @@ def cascade(rules: list[Rule]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
+ADDED = ("t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_words", "_lines", "_row")
+
+
+def rule_order(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[Rule]:
+    """The cascade's order on about `sample_rows` rows, drawn by a hash of the text and kept in the executors."""
+    total = docs.count()
+    drawn = docs.select(F.col(text).alias("text")).withColumn("_place", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1_000_003)))
+    drawn = drawn.filter(F.col("_place") < math.ceil(1_000_003 * min(1.0, sample_rows / max(1, total)))).select("text").distinct()
+    sample = base_columns(drawn, "text").persist()
+    try:
+        return [r for r, _, _ in ordered(sample, rules)]
+    finally:
+        sample.unpersist()
+
+
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
     """`docs` with base columns, base_failed, rejected_by and kept.
 
     base_failed: n_words < 50, or 100 * n_repeat_words > 50 * n_words.  kept: neither
-    base_failed nor rejected by a rule.  At most `sample_rows` rows are used to order
+    base_failed nor rejected by a rule.  About `sample_rows` rows are used to order
     the rules; every row gets the verdict of all rules.  Null and empty texts fail.
     rejected_by names one rule that holds; with several, which one depends on the order.
-    Columns of `docs` named like the added ones are replaced.
+    Columns of `docs` named like the added ones are replaced.  An empty table gives no rows.
     """
-    added = ["t", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept", "_words", "_lines", "_row"]
-    docs = docs.drop(*[c for c in added if c != text])
-    # take() reads no more partitions than it needs; limit() as part of a plan would read them all
-    taken = docs.sparkSession.createDataFrame(docs.select(text).take(sample_rows), docs.select(text).schema)
-    sample = base_columns(taken, text).persist()
-    order = [r for r, _, _ in ordered(sample, rules)]
-    sample.unpersist()
+    docs = docs.drop(*[c for c in ADDED if c != text])
+    order = rule_order(docs, text, rules, sample_rows)
     # A filter on `kept` must not sink below the base columns: it would take copies of their expressions along and work out a
     # text's words anew for every use.  It can't pass the row number, which is never below 0.
     out = base_columns(docs, text).withColumn("_row", F.monotonically_increasing_id())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(order)))
     return out.withColumn("kept", F.col("rejected_by").isNull() & (F.col("_row") >= 0)).drop("t", "_row")
+
+
+def passing(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
+    """The rows of `docs` that quality_rules keeps, as they are.
+
+    The cascade stops here for good: repeated words, the dearest condition, are worked out only for texts that pass all
+    others.  Rules that use n_repeat_words come after it.
+    """
+    docs_columns, names = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    mine = names[docs_columns.index(text)]
+    order = rule_order(docs.select(text), text, rules, sample_rows)
+    late = [r for r in order if "n_repeat_words" in r.rejects]
+    early = [r for r in order if r not in late]
+    out = base_columns(own, mine, repeats=False).withColumn("_row", F.monotonically_increasing_id())
+    out = out.filter((F.col("_row") >= 0) & (F.col("n_words") >= 50) & cascade(early).isNull())
+    out = out.withColumn("n_repeat_words", repeated_words("_words")).withColumn("_row", F.monotonically_increasing_id())
+    out = out.filter((F.col("_row") >= 0) & (100 * F.col("n_repeat_words") <= 50 * F.col("n_words")) & cascade(late).isNull())
+    return out.select(*names).toDF(*docs_columns)

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from terrapane.llm.quality_rules import RULES, base_columns, cascade, ordered, quality_rules
+from terrapane.llm.quality_rules import RULES, Rule, base_columns, cascade, greedy, ordered, passing, quality_rules, rule_order
 from tests.llm.conftest import ODD, frame
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -52,8 +52,32 @@ def test_order_never_changes_the_verdict(spark):
     assert verdicts[0] == verdicts[1]
     order = ordered(df)
     assert {r.name for r, _, _ in order} == {r.name for r in RULES}
-    rates = [share / cost for _, share, cost in order]
-    assert rates == sorted(rates, reverse=True)
+    assert all(0 <= share <= 1 and cost > 0 for _, share, cost in order)
+
+
+def test_greedy_is_conditional():
+    """The second rule is the best for the rows that the first leaves, not for all."""
+    a, b, c = (Rule(x, "true") for x in "abc")
+    sets = {(True, True, False): 50, (True, False, False): 10, (False, True, False): 1, (False, False, True): 5, (False, False, False): 34}
+    assert [(r.name, round(s, 3)) for r, s in greedy((a, b, c), [1.0, 1.0, 1.0], sets)] == [("a", 0.6), ("c", 0.125), ("b", round(1 / 35, 3))]
+    assert [r.name for r, _ in greedy((a, b, c), [100.0, 1.0, 1.0], sets)] == ["b", "c", "a"]
+
+
+def test_order_is_the_same_in_every_run(spark):
+    df = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts(400))])
+    slow = Rule("slow", "length(regexp_replace(t, '(a|b|c|d|e)+x', '')) < 0")
+    orders = {tuple(r.name for r in rule_order(df, rules=(slow, RULES[0], RULES[3]), sample_rows=400)) for _ in range(4)}
+    assert len(orders) == 1 and orders.pop()[-1] == "slow"
+
+
+def test_passing_is_what_is_kept(spark):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts())] + [(1000 + i, *r[1:]) for i, r in enumerate(ODD)]
+    df = frame(spark, rows)
+    rules = (*RULES, Rule("few_repeats", "n_repeat_words = 3"))
+    got, want = passing(df, rules=rules), quality_rules(df, rules=rules).filter("kept")
+    assert got.columns == df.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in want.collect())
+    assert passing(df.limit(0)).count() == 0
 
 
 def test_odd_tables(spark, odd, empty):

@@ -33,7 +33,7 @@ from terrapane.llm.common import _BASE, _IS_SPACE, _OTHER, Words, pieces, releas
 
 MAGIC = b"TPR1"
 SCALE = 20
-LANES = 512
+LANES = 1024
 SEGMENT = 256  # steps of all lanes between checkpoints
 BLOCK = 2 * LANES * SEGMENT
 LOW = np.uint64(1 << 32)
@@ -146,7 +146,7 @@ class UnitEncoder:
     A table of fixed size remembers units; a unit whose place is taken, or all of them once they have `most` ids, are forgotten.
     """
 
-    def __init__(self, tokenizer_json: str, bits: int = 19, most: int = 4_000_000):
+    def __init__(self, tokenizer_json: str, bits: int = 21, most: int = 12_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -241,8 +241,10 @@ class UnitEncoder:
         new = np.flatnonzero((self.key[slot] != key) | (self.check[slot] != check))
         if not len(new):
             return at, size
-        both = np.stack([key[new], check[new]], axis=1).view([("key", np.uint64), ("check", np.uint64)]).ravel()
-        _, one, back = np.unique(both, return_index=True, return_inverse=True)
+        _, one, back = np.unique(key[new] ^ check[new] << np.uint64(1), return_index=True, return_inverse=True)
+        if (key[new] != key[new][one][back]).any() or (check[new] != check[new][one][back]).any():  # two units fell together
+            both = np.stack([key[new], check[new]], axis=1).view([("key", np.uint64), ("check", np.uint64)]).ravel()
+            _, one, back = np.unique(both, return_index=True, return_inverse=True)
         one = new[one]
         # units with white space first and something else last can stand one after another
         alone = ~_IS_SPACE[data[start[one]]] | _IS_SPACE[data[end[one] - 1]]
@@ -297,7 +299,7 @@ def _binary(flat: np.ndarray, bound: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bound) - 1, [None, pa.py_buffer((bound * width).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
 
 
-#: The worker's encoder, about 70 MB, which later tasks of the worker find warm.
+#: The worker's encoder, up to 160 MB, which later tasks of the worker find warm.
 _encoders: dict[int, UnitEncoder] = {}
 
 

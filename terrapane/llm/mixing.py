@@ -17,6 +17,8 @@ from terrapane.llm.common import SPACES, staged
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BITS, LEVELS = 12, 3
+#: Sources up to which their thresholds, some 60 bytes each, are broadcast.  Beyond that the rows are shuffled by source, and Spark splits large ones.
+BROADCAST_SOURCES = 300_000
 
 
 def n_words(text: str) -> Column:
@@ -25,9 +27,10 @@ def n_words(text: str) -> Column:
     return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.size(F.split(t, SPACES))).cast("long")
 
 
-def hash36(doc_id: str) -> Column:
-    """36 bits of the id's md5, the same in any SQL engine; a null id counts as the empty text."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), 1, 9), 16, 10).cast("long")
+def hash36(doc_id: str, text: str) -> Column:
+    """36 bits of the id's md5, the same in any SQL engine; without an id, of the text's."""
+    named = F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 9), 16, 10).cast("long")
 
 
 def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -57,7 +60,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     """doc_id, source, size, source_size, target, copies and taken of every row of `docs`.
 
     A null text has size 0; null is a source of its own, last in order; equal ids
-    have equal hashes and are taken together.  A source's taken words differ from its
+    have equal hashes and are taken together, and so are equal texts without an id.  A source's taken words differ from its
     target by half the words of one hash value at most.  Empty tables give no rows.
     """
     sized = _sized(docs, doc_id, source, text)
@@ -67,20 +70,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The rows of `docs` that the mix takes, each as often as it takes them.  The texts aren't shuffled."""
+    """The rows of `docs` that the mix takes, each as often as it takes them.
+
+    The texts aren't shuffled while there are at most BROADCAST_SOURCES sources.  Nulls and ties as in mix.
+    """
     made, n = thresholds(_sized(docs, doc_id, source, text), weights, cap)
-    named = docs.withColumns({"_h": hash36(doc_id), "_src": F.col(source)})
+    named = docs.withColumns({"_h": hash36(doc_id, text), "_src": F.col(source)})
     out = _copies(named, made, n, cap, "_h", "_src", "_copies").filter("_copies > 0")
     return out.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
 
 
 def _sized(docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-    return staged(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), hash36(doc_id).alias("h")), "mix")
+    return staged(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), hash36(doc_id, text).alias("h")), "mix")
 
 
 def _copies(rows: DataFrame, made: DataFrame, n: int, cap: int, h: str = "h", source: str = "source", name: str = "copies") -> DataFrame:
     """`rows` with their source's threshold and the number of copies.  The thresholds have a row for each source, and are broadcast while there are few."""
-    made = F.broadcast(made) if n <= 10_000 else made
+    made = F.broadcast(made) if n <= BROADCAST_SOURCES else made
     more = F.when(F.col(h) < F.col("_below"), 1).otherwise(0)
     return rows.join(made, F.col(source).eqNullSafe(F.col("_source"))).withColumn(name, F.least(F.col("_whole") + more, F.lit(cap)).cast("long"))
 
@@ -96,7 +102,7 @@ def thresholds(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
     same = F.col("source").eqNullSafe(F.col("_source"))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
-        small = F.broadcast(state) if n <= 10_000 else state
+        small = F.broadcast(state) if n <= BROADCAST_SOURCES else state
         inside = sized.join(small, same & (F.shiftright("h", shift + BITS) == F.col("prefix")))
         hist = inside.groupBy("_source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         # at most 2^BITS rows a source: which bucket takes the running sum beyond what is left

@@ -59,3 +59,11 @@ def test_odd_tables(spark, odd, empty):
     assert mix(empty).count() == 0 and mixed(empty).count() == 0
     got = {(r["doc_id"], r["text"]): r["n"] for r in odd.select("doc_id", "text", n_words("text").alias("n")).collect()}
     assert all(got[d, t] == len((t or "").encode().split()) for d, t, *_ in ODD)
+
+
+def test_rows_without_ids_are_spread(spark):
+    """Many documents without an id: their texts spread them over the hashes, so that their source still comes near its target."""
+    rows = [(None, f"text {i} " + "w " * (i % 9), "en", "b" if i % 4 else "a", 0) for i in range(2000)]
+    got = mix(frame(spark, rows)).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    for r in got:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 12

@@ -130,19 +130,19 @@ def load_function(spec: str) -> Callable:
     """The function of "file.py:name".  The file is run: it must be trusted."""
     path, _, name = spec.rpartition(":")
     if not path or not Path(path).is_file():
-        raise PreprocessError(f"preprocess file {path or spec!r} not found")
+        raise PreprocessError(f"there is no file {path or spec!r} to take a function from")
     found = importlib.util.spec_from_file_location(Path(path).stem, path)
     module = importlib.util.module_from_spec(found)
     found.loader.exec_module(module)
     if not callable(getattr(module, name, None)):
-        raise PreprocessError(f"function {name!r} not found in {path}")
+        raise PreprocessError(f"{path} defines no function {name!r}")
     return getattr(module, name)
 
 
 def resolve(preprocess: str | Callable | None = None, preprocess_from: str | None = None) -> Callable[[Column], Column] | None:
     """A function of a column from a built-in's name, an expression, a callable, or "file.py:name"."""
     if preprocess is not None and preprocess_from is not None:
-        raise PreprocessError("give at most one of 'preprocess' and 'preprocess_from'")
+        raise PreprocessError("preprocess and preprocess_from exclude each other")
     if preprocess_from is not None:
         return load_function(preprocess_from)
     if preprocess is None or callable(preprocess):

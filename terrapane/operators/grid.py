@@ -27,10 +27,19 @@ class Grid:
 
     @classmethod
     def of(cls, cube: DataFrame, lon: str = "longitude", lat: str = "latitude") -> Grid:
-        """From a cube's distinct coordinates, ascending: as many values as the axes are long."""
-        lons = tuple(sorted(r[0] for r in cube.select(lon).distinct().collect()))
-        lats = tuple(sorted(r[0] for r in cube.select(lat).distinct().collect()))
-        return cls(lons, lats)
+        """From a cube's distinct coordinates, ascending: as many values as the axes are long, from one scan."""
+        found = cube.agg(F.collect_set(lon), F.collect_set(lat)).first()
+        return cls(tuple(sorted(found[0])), tuple(sorted(found[1])))
+
+    @property
+    def is_regular(self) -> bool:
+        """Whether coordinates can be turned into numbers by arithmetic: all gaps are near the mean one."""
+
+        def even(values: tuple[float, ...], step: float) -> bool:
+            gaps = [abs(b - a) for a, b in zip(values, values[1:], strict=False)]
+            return all(abs(g - step) * len(values) < step / 4 for g in gaps)
+
+        return even(self.lons, self.res_lon) and even(self.lats, self.res_lat)
 
     @property
     def res_lon(self) -> float:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrapane.schema import small
@@ -27,11 +27,16 @@ def weighted_mean(cube: DataFrame, weights: DataFrame, names: Sequence[str], reg
     out = means.select(region, "time", *[F.when(F.col("d__") != 0, F.try_divide(F.col(f"n__{i}"), F.col("d__"))).alias(n) for i, n in enumerate(names)])
     if not dropna:
         return out
-    kept = out.dropna(subset=list(names))
     if not keep_zero or "zero_weight" not in weights.columns:
-        return kept
-    # regions without weights have no rows among the kept ones: each gets one for each time
-    zero = weights.filter("zero_weight AND weight IS NULL").select(region).distinct()
-    times = cube.select("time").distinct()
-    blanks = zero.crossJoin(small(times)).select(region, "time", *[F.lit(None).cast("double").alias(n) for n in names])
-    return kept.unionByName(blanks)
+        return out.dropna(subset=list(names))
+    # Regions without weights have no row with a value: each gets one for each time.  The first row of a time brings them
+    # along, so that the panel is worked out once.  The list has each such region once.
+    zero = weights.filter("zero_weight AND weight IS NULL").agg(F.collect_set(region).alias("zero__"))
+    first = F.row_number().over(Window.partitionBy("time").orderBy(region)) == 1
+    own = F.struct(F.col(region).alias("r"), *[F.col(n).alias(f"v{i}") for i, n in enumerate(names)])
+    nothing = [F.lit(None).cast("double").alias(f"v{i}") for i in range(len(names))]
+    blanks = F.when(F.col("first__"), F.transform("zero__", lambda r: F.struct(r.alias("r"), *nothing))).otherwise(F.array())
+    here = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+    rows = out.withColumn("first__", first).crossJoin(F.broadcast(zero))  # one row
+    rows = rows.select("time", F.explode(F.concat(F.when(here, F.array(own)).otherwise(F.array()), blanks)).alias("x"))
+    return rows.select(F.col("x.r").alias(region), "time", *[F.col(f"x.v{i}").alias(n) for i, n in enumerate(names)])

@@ -90,7 +90,11 @@ def build_weights(cells: DataFrame, regions: Regions, origin: float, res_lon: fl
     return area if raster is None else with_secondary(area, raster_average(raster, cells), zero_weight)
 
 
-def zero_regions(weights: DataFrame, region: str, most: int = 5) -> list:
+#: Regions that a message names.
+MOST_NAMED = 5
+
+
+def zero_regions(weights: DataFrame, region: str, most: int = MOST_NAMED) -> list:
     """The first zero-weight regions, for a message."""
     return [r[0] for r in weights.filter("zero_weight").select(region).distinct().orderBy(region).limit(most).collect()]
 

@@ -81,7 +81,7 @@ def parse_years(spec: Any, errors: list[str]) -> list[int] | None:
     if isinstance(spec, list):
         if all(isinstance(y, int) and not isinstance(y, bool) for y in spec):
             return list(spec)
-        errors.append(f"years: a list must hold integers, not {spec!r}")
+        errors.append(f"years: {spec!r} has something that is no year")
     elif isinstance(spec, str):
         try:
             ends = [int(x) for x in spec.split(":")]
@@ -89,29 +89,29 @@ def parse_years(spec: Any, errors: list[str]) -> list[int] | None:
             ends = []
         if len(ends) == 1 or len(ends) == 2 and ends[0] <= ends[1]:
             return list(range(ends[0], ends[-1] + 1))
-        errors.append(f"years: cannot read {spec!r}: use 'first:last' or an int")
+        errors.append(f"years: {spec!r} is neither a year nor a span like 1990:1999")
     else:
-        errors.append(f"years: a {type(spec).__name__} is not an int, a list or 'first:last'")
+        errors.append(f"years: {spec!r} is no year, list of years or span")
     return None
 
 
 def parse_config(raw: Any) -> RunConfig:
     if not isinstance(raw, Mapping) or not raw:
-        raise ConfigError(["the configuration must be a non-empty mapping"])
+        raise ConfigError(["the configuration is empty, or has no named parts"])
     errors: list[str] = []
 
     def part(of: Mapping, key: str, where: str = "") -> Mapping:
         found = of.get(key)
         if found is not None and not isinstance(found, Mapping):
-            errors.append(f"{where}{key} must be a mapping")
+            errors.append(f"{where}{key}: its settings must be named")
         return found if isinstance(found, Mapping) else {}
 
     def needed(of: Mapping, where: str, *keys: str) -> None:
-        errors.extend(f"{where}.{k} is required" for k in keys if not of.get(k))
+        errors.extend(f"{where}.{k} is missing" for k in keys if not of.get(k))
 
     def one_of(value: Any, allowed: tuple, where: str) -> None:
         if value not in allowed:
-            errors.append(f"{where} {value!r} not in {sorted(allowed)}")
+            errors.append(f"{where}: {value!r} is none of {', '.join(sorted(allowed))}")
 
     regions, data, weights = part(raw, "regions"), part(raw, "dataset"), part(raw, "weights")
     aggregate, execution, output = part(raw, "aggregate"), part(raw, "execution"), part(raw, "output")
@@ -119,9 +119,9 @@ def parse_config(raw: Any) -> RunConfig:
     needed(data, "dataset", "path", "var")
     needed(output, "output", "path")
     if data.get("preprocess") is not None and data.get("preprocess_from") is not None:
-        errors.append("dataset: give at most one of 'preprocess' and 'preprocess_from'")
+        errors.append("dataset: preprocess and preprocess_from exclude each other")
     elif data.get("preprocess_from") is not None and ":" not in str(data["preprocess_from"]):
-        errors.append("dataset.preprocess_from must be 'file.py:function'")
+        errors.append("dataset.preprocess_from: a file and a function of it, with a colon between")
     elif data.get("preprocess") is not None:
         try:
             resolve(data["preprocess"])
@@ -129,7 +129,7 @@ def parse_config(raw: Any) -> RunConfig:
             errors.append(f"dataset.preprocess: {e}")
     xy = data.get("xycoords")
     if xy is not None and not (isinstance(xy, (list, tuple)) and len(xy) == 2):
-        errors.append("dataset.xycoords must be a list of the longitude's and the latitude's name")
+        errors.append("dataset.xycoords: two names, the longitude's and the latitude's")
         xy = None
     options = part(data, "storage_options", "dataset.")
     one_of(zero := weights.get("zero_weight", "nan"), POLICIES, "weights.zero_weight")
@@ -140,13 +140,13 @@ def parse_config(raw: Any) -> RunConfig:
             one_of(found.get("type"), SECONDARY, "weights.secondary.type")
             needed(found, "weights.secondary", "path")
             if found.get("type") == "crop" and not found.get("crop"):
-                errors.append("weights.secondary.crop is required for crop weights")
+                errors.append("weights.secondary: of which crop?")
             drop = {"type", "path", "feed"} if found.get("type") != "crop" else {"type", "path"}
             secondary = Secondary(found.get("type"), found.get("path"), {k: v for k, v in found.items() if k not in drop})
     one_of(engine := aggregate.get("engine", "auto"), ENGINES, "aggregate.engine")
     variables = aggregate.get("variables")
     if not isinstance(variables, Mapping) or not variables:
-        errors.append("aggregate.variables must be a non-empty mapping of names to steps")
+        errors.append("aggregate.variables: no variable has steps")
     else:
         try:
             parse(variables)
@@ -156,13 +156,13 @@ def parse_config(raw: Any) -> RunConfig:
     years = parse_years(raw.get("years"), errors)
     paths = data.get("path") or []
     if any("{year}" in str(p) for p in ([paths] if isinstance(paths, str) else paths)) and years is None:
-        errors.append("dataset.path has {year}, but there are no 'years'")
+        errors.append("dataset.path stands for several years, but years is missing")
     fmt = output.get("format")
     if output.get("path") and fmt is None:
         suffix = Path(output["path"]).suffix.lower()
         fmt = PANEL_FORMATS.get(suffix)
         if fmt is None:
-            errors.append(f"output.path: format {suffix or 'without a suffix'} is not one of {', '.join(PANEL_FORMATS)}")
+            errors.append(f"output.path: cannot write {suffix or 'a path without a suffix'}, only {', '.join(PANEL_FORMATS)}")
     elif fmt is not None:
         one_of(fmt, tuple(PANEL_FORMATS.values()), "output.format")
     if errors:
@@ -182,9 +182,9 @@ def load_config(path: str | Path) -> RunConfig:
     try:
         raw = yaml.safe_load(Path(path).read_text())
     except FileNotFoundError:
-        raise ConfigError([f"config file not found: {path}"]) from None
+        raise ConfigError([f"there is no file {path}"]) from None
     except yaml.YAMLError as e:
-        raise ConfigError([f"could not parse YAML: {e}"]) from None
+        raise ConfigError([f"{path} is not valid YAML: {e}"]) from None
     return parse_config(raw)
 
 

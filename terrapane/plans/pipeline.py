@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terrapane.functions.transforms import resolve
 from terrapane.operators.regions import Regions
 from terrapane.operators.spatial import weighted_mean
-from terrapane.operators.weights import Raster, build_weights, used_cells
+from terrapane.operators.weights import MOST_NAMED, Raster, build_weights, used_cells, zero_regions
 from terrapane.plans.cache import ProjectCache, fingerprint
 from terrapane.plans.config import RunConfig
 from terrapane.plans.temporal import TimeStage
@@ -32,10 +32,11 @@ def aggregate_space(tables: Mapping[str, tuple[DataFrame, list[str]]], weights:
     return weighted_mean(joined, weights, names, region)
 
 
-def aggregate_dataset(weights: DataFrame, cube: Cube | DataFrame | None = None, spec: Mapping[str, Any] | None = None, region: str = "region_id", missing: str = "sparse", calendar: str | None = None, engine: str = "auto", **variables: Any) -> DataFrame:
+def aggregate_dataset(weights: DataFrame, cube: Cube | DataFrame | None = None, spec: Mapping[str, Any] | None = None, region: str = "region_id", missing: str = "sparse", calendar: str | None = None, engine: str = "auto", axis: DataFrame | None = None, **variables: Any) -> DataFrame:
     """region, time and a column for each output.
 
     Variables come as keyword arguments or as a mapping; without any, the value itself is averaged over space.
+    `axis`, with the cube's steps in a column time, spares a dense run the scan of the cube's times.
     `engine` is accepted and has no effect: Catalyst chooses.
     """
     if cube is None:
@@ -50,7 +51,8 @@ def aggregate_dataset(weights: DataFrame, cube: Cube | DataFrame | None = None,
     spec = dict(spec or {}) | variables
     if not spec:
         return weighted_mean(used.select("cell_id", "time", F.col("value").alias("variable")), weights, ["variable"], region)
-    return aggregate_space(TimeStage(used, missing, calendar).run(spec), weights, region)
+    # cells without weight are left out, but their times are on the axis
+    return aggregate_space(TimeStage(used, missing, calendar, axis if axis is not None else df).run(spec), weights, region)
 
 
 def weights_from_objects(cube: Cube, regions: Regions, raster: Raster | None = None, project_dir: str | None = None, zero_weight: str = "nan", cosine_area: bool | None = None) -> DataFrame:
@@ -72,6 +74,8 @@ def weights_from_objects(cube: Cube, regions: Regions, raster: Raster | None = N
             return kept
     origin = (cube.grid.lons[0] + 180) % 360 - 180 - cube.grid.res_lon / 2
     made = build_weights(cells, regions, origin, cube.grid.res_lon, raster, zero_weight, cosine_area)
+    if raster is not None and zero_weight != "drop" and (none := zero_regions(made, regions.regionid)):
+        warnings.warn(f"no raster value falls into {', '.join(map(str, none))}{' and others' if len(none) == MOST_NAMED else ''}: zero_weight={zero_weight!r} applies", stacklevel=2)
     return cache.put(made, key) if project_dir else made
 
 

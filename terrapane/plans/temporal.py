@@ -18,7 +18,6 @@ from terrapane.functions import periods
 from terrapane.functions.reducers import aggregates, result
 from terrapane.functions.transforms import interact, power, spline
 from terrapane.plans.spec import AggregateStep, Step, TransformStep, parse, step_names
-from terrapane.schema import small
 
 
 @dataclass
@@ -57,12 +56,16 @@ class TimeStage:
     missing="sparse": the rows there are make a window.  missing="dense": all cells share the cube's
     time axis, so a cell that lacks a step of a period misses a sample there, and a period between
     the first and the last without any step is missing as a whole.
+
+    `axis` has the steps in a column time; without it they are read from the cube's times, which is one more
+    scan, of that column alone.  All reductions take their periods from it: none runs for the sake of another.
     """
 
-    def __init__(self, cube: DataFrame, missing: str = "sparse", calendar: str = "standard"):
+    def __init__(self, cube: DataFrame, missing: str = "sparse", calendar: str = "standard", axis: DataFrame | None = None):
         if missing not in ("sparse", "dense"):
             raise ValueError(f"missing must be 'sparse' or 'dense', not {missing!r}")
         self.cube, self.missing, self.calendar = cube, missing, periods.calendar_of(calendar)
+        self.steps = (cube if axis is None else axis).select("time").distinct()
 
     def label(self, time: Column, frequency: str) -> Column:
         return periods.label(time, frequency) if self.calendar == "standard" else periods.cf_label(time, frequency, self.calendar)
@@ -130,17 +133,15 @@ class TimeStage:
         grouped = rows.groupBy("cell_id", "time").agg(F.count(F.lit(1)).alias("n__rows"), *[c.alias(n) for n, c in made.items()])
         expected = F.col("n__rows")
         if self.missing == "dense":
-            grouped = grouped.join(small(self.axis(table, frequency)), "time")
+            # a row for each period: there are fewer than four million dates from the year 1 to 9999
+            grouped = grouped.join(F.broadcast(self.axis(table, frequency)), "time")
             expected = F.col("n__expected")
         df = grouped.select("cell_id", "time", *[result(calc, t, n, expected).alias(n) for n, (calc, t) in results.items()])
         return _Table(df, frequency)
 
     def axis(self, table: _Table, frequency: str) -> DataFrame:
         """How many steps of the table's time axis fall into each period: time and n__expected."""
-        if table.frequency is None:
-            steps = self.cube.select("time").distinct()
-        else:
-            steps = self.calendar_between(table.df, table.frequency)
+        steps = self.steps if table.frequency is None else self.calendar_between(self.steps.select(self.label(F.col("time"), table.frequency).alias("time")), table.frequency)
         return steps.select(self.label(F.col("time"), frequency).alias("time")).groupBy("time").agg(F.count(F.lit(1)).alias("n__expected"))
 
     def calendar_between(self, df: DataFrame, frequency: str) -> DataFrame:
@@ -157,7 +158,7 @@ class TimeStage:
     def filled(self, df: DataFrame, frequency: str) -> DataFrame:
         """`df` with a row of NULLs for each cell and each period between the first and the last that it lacks."""
         cells = df.select("cell_id").distinct()
-        return cells.join(small(self.calendar_between(df, frequency))).join(df, ["cell_id", "time"], "left")
+        return cells.join(F.broadcast(self.calendar_between(df, frequency))).join(df, ["cell_id", "time"], "left")
 
 
 def cf_date(ordinal: Column, calendar: str) -> Column:
@@ -174,7 +175,7 @@ def cf_date(ordinal: Column, calendar: str) -> Column:
     return F.struct(year.cast("int").alias("year"), month.cast("int").alias("month"), day.cast("int").alias("day"), F.lit(0).alias("second_of_day"))
 
 
-def aggregate_time(cube: DataFrame, spec: Mapping[str, Any], missing: str = "sparse", calendar: str = "standard") -> DataFrame:
+def aggregate_time(cube: DataFrame, spec: Mapping[str, Any], missing: str = "sparse", calendar: str = "standard", axis: DataFrame | None = None) -> DataFrame:
     """cell_id, time and all outputs.  Tables of different chains meet in a full outer join: mixed periods share few times."""
-    tables = TimeStage(cube, missing, calendar).run(spec)
+    tables = TimeStage(cube, missing, calendar, axis).run(spec)
     return reduce(lambda a, b: a.join(b, ["cell_id", "time"], "full_outer"), [df for df, _ in tables.values()])

@@ -164,9 +164,13 @@ def cube_from(df: DataFrame, var: str, xycoords=None, timecoord=None, time_sel=N
     if bounds is not None:
         rows = rows.filter(in_bbox(bounds, grid.res_lon, grid.res_lat, lon, lat, grid.lon_is_360))
     rows = rows.select(F.col(lon).cast("double").alias("lon0"), F.col(lat).cast("double").alias("lat0"), F.col(time).alias("time"), F.col(var).alias("value"))
-    # a cell's number by arithmetic on its coordinates: no join with the lattice
-    j = F.round((F.col("lon0") - grid.lons[0]) / (grid.res_lon if len(grid.lons) < 2 or grid.lons[1] > grid.lons[0] else -grid.res_lon)).cast("long")
-    i = F.round((F.col("lat0") - grid.lats[0]) / (grid.res_lat if len(grid.lats) < 2 or grid.lats[1] > grid.lats[0] else -grid.res_lat)).cast("long")
+    if grid.is_regular:
+        # a cell's number by arithmetic on its coordinates: no join with the lattice
+        j = F.round((F.col("lon0") - grid.lons[0]) / (grid.res_lon if len(grid.lons) < 2 or grid.lons[1] > grid.lons[0] else -grid.res_lon)).cast("long")
+        i = F.round((F.col("lat0") - grid.lats[0]) / (grid.res_lat if len(grid.lats) < 2 or grid.lats[1] > grid.lats[0] else -grid.res_lat)).cast("long")
+    else:
+        # an uneven axis, like a Gaussian one: each coordinate's place among those of the axis
+        i, j = (F.array_position(F.array(*[F.lit(float(x)) for x in axis]), F.col(c)) - 1 for axis, c in ((grid.lats, "lat0"), (grid.lons, "lon0")))
     value = missing_to_null(F.col("value"))
     value = preprocess(value) if preprocess is not None else value
     out = rows.select((i * len(grid.lons) + j).alias("cell_id"), "time", value.alias("value"), lon_to_180(F.col("lon0")).alias("longitude"), F.col("lat0").alias("latitude"))

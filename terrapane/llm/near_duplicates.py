@@ -428,7 +428,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # members of buckets of two or more nodes, with their bucket's smallest node
     keyed = named.select("node", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("high")).filter("hub < high").select("key", "hub")
-    shared = staged(keyed.join(hubs, "key"), "buckets")
+    # a table of its own next to the join: Spark splits a large key then
+    hubs = staged(hubs, "hubs")
+    shared = staged(keyed.join(small(hubs), "key"), "buckets")
     met = shared.filter("node <> hub").select("hub", "node").distinct()
     met = met.join(about.select(*[F.col(c).alias(f"l_{c}") for c in about.columns]), F.col("hub") == F.col("l_node"))
     met = met.join(about.select(*[F.col(c).alias(f"r_{c}") for c in about.columns]), F.col("node") == F.col("r_node"))
@@ -439,9 +441,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # the buckets that still hold several classes
     classed = shared.select("key", "node").join(small(roots), "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
     mixed = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("key")
-    members = staged(classed.join(mixed, "key").join(named.select("node", "n"), "node"), "members")
+    mixed = staged(mixed, "mixed")
+    members = staged(classed.join(small(mixed), "key").join(named.select("node", "n"), "node"), "members")
     sizes = members.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("salts"))
-    placed = members.join(sizes, "key").join(named.drop("n"), "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.col("salts")).cast("int"))
+    sizes = staged(sizes, "sizes")
+    placed = members.join(small(sizes), "key").join(named.drop("n"), "node").withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.col("salts")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     dealt = dealt.withColumns({"i": F.least("salt", "other"), "j": F.greatest("salt", "other"), "side": (F.col("salt") > F.col("other")).cast("int")})
     columns = ["key", "i", "j", "side", "node", "class", "n", *_BITS, "keys"]
@@ -463,7 +467,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = rows.count()
     of_node = _looked_up(nodes.select("node", "root", F.col("rows").alias("copies")), classes.select("root", "best", F.col("nodes").alias("rows")), "root", total)
     of_node = staged(of_node.filter("best IS NOT NULL").select("node", "best", F.col("copies").alias("rows")), "kept")
-    for x in [named, shared, pairs, links, members, worth, further, roots, nodes]:
+    for x in [named, hubs, shared, pairs, links, mixed, members, sizes, worth, further, roots, nodes]:
         release(x)
     ids = rows.select("doc_id", "row", "node")
     null, known = ids.filter("node IS NULL").withColumn("best", F.lit(None).cast(of_node.schema["best"].dataType)), ids.filter("node IS NOT NULL")

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import documents, release, staged
-from terrapane.llm.decontaminate import decontaminated
+from terrapane.llm.common import documents, release, small, staged
+from terrapane.llm.decontaminate import clean
 from terrapane.llm.mixing import mixed
-from terrapane.llm.near_duplicates import near_duplicates, small, text_node
+from terrapane.llm.near_duplicates import near_duplicates, text_node
 from terrapane.llm.quality_rules import passing
 from terrapane.llm.registry import tokens_written
 
@@ -49,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null texts hold none.  Rows with one id have verdicts of their own texts.  An empty benchmark or table changes nothing.
     """
-    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(~F.col("contaminated")).select(*docs.columns)
+    return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,15 @@ def _release_all() -> None:
             pass
 
 
+#: Rows of a side that is broadcast: keys and a few numbers each.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, to be broadcast if it is known to be small; it should be a staged table, for it is counted."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of the id as text, modulo m; null for a null id."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(m)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import staged
+from terrapane.llm.common import small, staged
 from terrapane.llm.quality_rules import words_of
 
 #: Shapes of weight five that, together, hit every placement of the changes allowed.
@@ -165,8 +165,9 @@ def contamination(
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """`docs` with contaminated, items and matched: false, no items and 0 for a clean text.  All rows and columns stay."""
-    found = contamination(docs, benchmark, doc_id, text, **options)
+    found = staged(contamination(docs, benchmark, doc_id, text, **options), "found")
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("items").alias("_items"), F.col("matched").alias("_matched"))
+    found = small(found)
     keyed = docs.drop(*[c for c in ("contaminated", "items", "matched") if c not in (doc_id, text)]).withColumn("_text_key", F.xxhash64(F.col(text)))
     out = keyed.join(found, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
     return out.withColumns(
@@ -176,3 +177,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
             "matched": F.coalesce(F.col("_matched"), F.lit(0.0)),
         }
     ).drop("_id", "_key", "_items", "_matched", "_text_key")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that decontaminated finds clean, as they are.  Only keys of the others travel, and no text while they are few."""
+    found = staged(contamination(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "found")
+    same = docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_key"))
+    return docs.join(small(found), same, "left_anti")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import Words, mix64, pieces, release, staged
+from terrapane.llm.common import Words, mix64, pieces, release, small, staged
 
 #: Words of a k-mer, and for texts of at most SHORT words besides.
 WIDE, NARROW, SHORT = 3, 2, 32
@@ -383,15 +383,6 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-#: Rows of a side that is broadcast, of one or two integers each.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """`df`, to be broadcast if it is known to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _looked_up(left: DataFrame, table: DataFrame, on: str, total: int) -> DataFrame:
     """left join of `table`, which has each value of `on` once and in `rows` how many rows of left have it.
 

@@ -82,7 +82,7 @@ def base_columns(docs: DataFrame, text: str = "text", repeats: bool = True) -> D
 
 
 #: Times that a rule is evaluated on each row of the sample in one job, and jobs of which the fastest counts.
-TIMES, RUNS = 30, 3
+TIMES, RUNS = 8, 2
 
 
 def greedy(rules: tuple[Rule, ...], costs: list[float], rejected: dict[tuple[bool, ...], int]) -> list[tuple[Rule, float]]:

@@ -9,6 +9,7 @@ from terrapane.llm.registry import ORACLE_SQL, vocabulary_path
 from tests.llm.test_decontaminate import brute
 from tests.llm.test_near_duplicates import classes
 from tests.llm.test_quality_rules import rejected
+from tests.llm.conftest import frame
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +45,18 @@ def test_stages_keep_the_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.limit(0), SF)
         assert out.columns == docs.columns and out.count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, repeated rows, ties and clashing columns go through every stage; what each keeps is as its docstring says."""
+    good = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, good, "en", "a", 9), (1, good, "en", "a", 9), (None, good + " end", "en", None, 9), (2, None, "en", "a", 0), (2, None, "en", "a", 0), (3, "", None, None, None), (4, "short", "en", "b", 5), (5, "other " + " ".join(f"x{'abcdefgh'[i % 8]}{'klmnopqrst'[i // 8]}y" for i in range(80)), "en", "b", 5)]
+    docs = frame(spark, rows)
+    kept = {n: sorted((str(r["doc_id"]), str(r["text"])[:5]) for r in s(spark, docs, SF).collect()) for n, s in corpus_pipeline.STAGES[:-1]}
+    assert all(s(spark, docs, SF).columns == docs.columns for _, s in corpus_pipeline.STAGES[:-1])
+    assert kept["quality_rules"] == [("1", "word0"), ("1", "word0"), ("5", "other"), ("None", "word0")]
+    assert kept["near_duplicates"] == [("1", "word0"), ("2", "None"), ("2", "None"), ("3", ""), ("4", "short"), ("5", "other")]
+    assert kept["decontamination"] == sorted((str(r[0]), str(r[1])[:5]) for r in rows)
+    assert set(kept["mixing"]) <= set(kept["decontamination"]) and len(kept["mixing"]) <= 3 * len(rows)
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in rows)

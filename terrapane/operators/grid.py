@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapane.functions.transforms import lon_to_180, lon_to_360
+from terrapane.functions.transforms import BUILTINS, lon_to_180, lon_to_360
 
 
 def spacing(coordinates: Sequence[float]) -> float | None:
@@ -152,6 +152,11 @@ def time_parts(df: DataFrame, time: str = "time") -> DataFrame:
     return df.withColumns({"year": F.year(t), "month": F.month(t), "day": F.day(t), "hour": F.hour(t)})
 
 
+def era5_land(df: DataFrame, value: str = "value", lon: str = "longitude", time: str = "time") -> DataFrame:
+    """A table as ERA5-Land delivers it, made ready: longitudes from -180 to 180, degrees Celsius, and the parts of time."""
+    return time_parts(rescale_longitude(df, False, lon), time).withColumn(value, BUILTINS["kelvin_to_celsius"](F.col(value)))
+
+
 def interior_cells(weights: DataFrame, region: str = "region_id", most: int = 1000) -> DataFrame:
     """Cells wholly inside a region, numbered from 1 in each region, with a subregion for each `most` of them."""
     from pyspark.sql import Window

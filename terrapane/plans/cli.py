@@ -59,9 +59,17 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
 
 
 def _info(args: argparse.Namespace, spark: SparkSession | None) -> int:
-    from terrapane.sources.cubes import inspect, read_table
+    from terrapane.sources.arrays import inspect_arrays
+    from terrapane.sources.cubes import ARRAYS, inspect, read_table, sniff
 
-    found = inspect(read_table(spark or session(), args.path, **args.storage_options))
+    spark = spark or session()
+    if (kind := sniff(spark, args.path)) in ARRAYS:
+        arrays = inspect_arrays(spark, args.path, kind)
+        if args.var and args.var not in arrays:
+            raise ValueError(f"variable {args.var!r} is not one of {', '.join(arrays)}")
+        print("\n".join(f"{k}: {', '.join(f'{n} {x}' for n, x in v.items())}" for k, v in arrays.items()))
+        return 0
+    found = inspect(read_table(spark, args.path, **args.storage_options))
     if args.var and args.var not in found["variables"]:
         raise ValueError(f"variable {args.var!r} is not one of {', '.join(found['variables'])}")
     print("\n".join(f"{k}: {v}" for k, v in found.items()))
@@ -70,9 +78,13 @@ def _info(args: argparse.Namespace, spark: SparkSession | None) -> int:
 
 def _regions(args: argparse.Namespace, spark: SparkSession | None) -> int:
     from terrapane.operators.regions import uniqueness
-    from terrapane.sources.vectors import read_rows
+    from terrapane.sources.vectors import read_rows, shapefile_info
 
     spark = spark or session()
+    if args.path.lower().endswith(".shp") and not args.uniqueness and not args.rows:
+        found = shapefile_info(spark, args.path)
+        print("\n".join(f"{k}: {v}" for k, v in found.items()))
+        return 0
     rows, crs = read_rows(spark, args.path)
     plain = [{k: v for k, v in r.items() if k != "geometry"} for r in rows]
     print(f"{len(rows)} regions, {crs}\ncolumns: {', '.join(plain[0]) if plain else ''}")

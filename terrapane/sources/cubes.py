@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,8 @@ from terrapane.operators.grid import Grid, in_bbox
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json", ".orc": "orc"}
 ARRAY_FORMATS = {".nc": "netcdf", ".nc4": "netcdf", ".netcdf": "netcdf", ".cdf": "netcdf", ".grib": "grib", ".grb": "grib", ".grib2": "grib", ".tif": "geotiff", ".tiff": "geotiff"}
 #: Which optional module opens an array format, and which a store's scheme needs.
-ARRAY_MODULES = {"netcdf": "xarray", "grib": "cfgrib", "zarr": "zarr", "geotiff": "rasterio"}
+ARRAY_MODULES = {"grib": "cfgrib", "geotiff": "rasterio"}
+ARRAYS = ("zarr", "netcdf")
 ZARR_MARKS = ("zarr.json", ".zmetadata", ".zgroup", ".zarray")
 LON_NAMES = ("longitude", "lon", "x")
 LAT_NAMES = ("latitude", "lat", "y")
@@ -72,6 +74,8 @@ def read_table(spark: SparkSession, paths: str | Sequence[str], fmt: str | None
     for p in paths:
         check_scheme(spark, p)
     fmt = fmt or sniff(spark, paths[0])
+    if fmt in ARRAYS:
+        raise ValueError(f"{fmt} holds arrays: read a variable of it with read_cube")
     if fmt in ARRAY_MODULES:
         _array_reader(fmt)
     if fmt == "csv":
@@ -141,14 +145,51 @@ def read_cube(
     bounds: Sequence[float] | None = None,
     preprocess: Callable[[Column], Column] | None = None,
     preprocess_at_load: Callable[[DataFrame], DataFrame] | None = None,
+    preprocess_each: Callable[[DataFrame], DataFrame] | None = None,
     grid: Grid | None = None,
     name: str | None = None,
     fmt: str | None = None,
     calendar: str = "standard",
     **options,
 ) -> Cube:
-    """One variable of a long table as a cube.  Filters on time and place are on plain columns and reach the scan."""
-    return cube_from(read_table(spark, path, fmt, **options), var, xycoords, timecoord, time_sel, bounds, preprocess, preprocess_at_load, grid, name, calendar)
+    """One variable of a long table, a Zarr store or classic NetCDF files as a cube.
+
+    Filters on time and place are on plain columns and reach the scan; of arrays only the chunks they need are read.
+    preprocess_each changes each path's table before they are put together, preprocess_at_load the whole one.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    if not paths:
+        raise ValueError("there is no path to read")
+    kind = fmt or sniff(spark, paths[0])
+    if kind in ARRAYS:
+        return _array_cube(spark, paths, kind, var, xycoords, timecoord, time_sel, bounds, preprocess, preprocess_at_load, preprocess_each, grid, name)
+    if preprocess_each is not None:
+        df = reduce(lambda a, b: a.unionByName(b), [preprocess_each(read_table(spark, p, fmt, **options)) for p in paths])
+    else:
+        df = read_table(spark, paths, fmt, **options)
+    return cube_from(df, var, xycoords, timecoord, time_sel, bounds, preprocess, preprocess_at_load, grid, name, calendar)
+
+
+def _array_cube(spark: SparkSession, paths: list[str], kind: str, var: str, xycoords, timecoord, time_sel, bounds, preprocess, preprocess_at_load, preprocess_each, grid, name) -> Cube:
+    from terrapane.sources.arrays import array_grid, read_netcdf, read_zarr
+
+    for p in paths:
+        check_scheme(spark, p)
+    ends = None
+    if time_sel is not None:
+        first, last = (time_sel.start, time_sel.stop) if isinstance(time_sel, slice) else time_sel if isinstance(time_sel, (tuple, list)) else (time_sel, time_sel)
+        ends = (period_of(first)[0] if first is not None else None, period_of(last)[1] if last is not None else None)
+    if kind == "netcdf" and preprocess_each is None:
+        df = read_netcdf(spark, paths, var, bounds, ends, xycoords, timecoord)
+    else:
+        read = read_zarr if kind == "zarr" else read_netcdf
+        tables = [read(spark, p, var, bounds, ends, xycoords, timecoord) for p in paths]
+        df = reduce(lambda a, b: a.unionByName(b), [preprocess_each(t) if preprocess_each else t for t in tables])
+    lons, lats, calendar = array_grid(spark, paths[0], kind, var, xycoords, timecoord)
+    grid = grid or Grid(tuple(sorted(lons)), tuple(sorted(lats)))
+    # a span of another calendar's dates was not compared with the axis
+    sel = time_sel if calendar == "standard" else None
+    return cube_from(df, var, ("longitude", "latitude"), "time", sel, bounds, preprocess, preprocess_at_load, grid, name, calendar)
 
 
 def cube_from(df: DataFrame, var: str, xycoords=None, timecoord=None, time_sel=None, bounds=None, preprocess=None, preprocess_at_load=None, grid: Grid | None = None, name=None, calendar="standard") -> Cube:

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapane.operators.grid import spacing
 from terrapane.operators.regions import Regions, regions_from_rows
 from terrapane.operators.weights import Raster
+from terrapane.sources.arrays import read_bytes
 from terrapane.sources.cubes import read_table
+from terrapane.sources.geotiff import GeoTiff
 
 RASTER_SUFFIXES = (".parquet", ".csv", ".json", ".orc")
 
@@ -34,12 +39,43 @@ def read_rows(spark: SparkSession, path: str, geometry: str = "geometry") -> tup
         stem = path[:-4]
         blob = {s: _bytes(spark, stem + s) for s in (".shp", ".dbf")}
         attributes = read_dbf(blob[".dbf"])
-        return [a | {geometry: g} for a, g in zip(attributes, read_shp(blob[".shp"]), strict=True)], "WGS84"
+        return [a | {geometry: g} for a, g in zip(attributes, read_shp(blob[".shp"]), strict=True)], shapefile_crs(spark, stem)
     return [r.asDict() for r in read_table(spark, path).collect()], "WGS84"
 
 
-def _bytes(spark: SparkSession, path: str) -> bytes:
-    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+#: Names of geographic coordinate systems, as projection files have them, that are longitude and latitude on or next to WGS84.
+GEOGRAPHIC = ("GCS_WGS_1984", "WGS 84", "WGS84", "GCS_North_American_1983", "NAD83")
+
+
+def shapefile_crs(spark: SparkSession, stem: str) -> str:
+    """The coordinate system of a shapefile by its .prj: WGS84 if that is geographic or missing, else its name."""
+    text = (read_bytes(spark, f"{stem}.prj") or b"").decode("utf-8", "replace").strip()
+    found = re.match(r'(\w+)\["([^"]*)"', text)
+    if not text or found and found[1].startswith("GEOG") and found[2] in GEOGRAPHIC:
+        return "WGS84"
+    return found[2] if found else text[:40]
+
+
+def shapefile_info(spark: SparkSession, path: str) -> dict[str, Any]:
+    """Number of regions, bounds, attribute columns and coordinate system, from headers: no polygon is read."""
+    stem = path[:-4]
+    head = _bytes(spark, path, 100)
+    table = _bytes(spark, f"{stem}.dbf")
+    return {"regions": struct.unpack_from("<I", table, 4)[0], "bounds": struct.unpack_from("<4d", head, 36), "columns": dbf_columns(table), "crs": shapefile_crs(spark, stem)}
+
+
+def dbf_columns(data: bytes) -> list[str]:
+    out, at = [], 32
+    while data[at] != 0x0D:
+        out.append(data[at : at + 11].split(b"\0")[0].decode("ascii", "replace"))
+        at += 32
+    return out
+
+
+def _bytes(spark: SparkSession, path: str, most: int | None = None) -> bytes:
+    """A file's bytes, or the first `most` of them."""
+    found = spark.read.format("binaryFile").load(path)
+    return bytes(found.select(F.substring("content", 1, most) if most else "content").first()[0])
 
 
 def read_shp(data: bytes) -> list[list]:
@@ -108,7 +144,9 @@ def read_raster(
     cache_identifier: str | None = None,
     fmt: str | None = None,
 ) -> Raster:
-    """A raster from a long table: preprocess, then the variable, then the selection."""
+    """A raster from a long table (preprocess, then the variable, then the selection), or a band of a GeoTIFF."""
+    if path.lower().endswith((".tif", ".tiff")):
+        return _tiff(spark, path, (sel or {}).get("band", 1), preprocess, crs, kind, cache_identifier)
     if fmt is None and not path.rstrip("/").lower().endswith(RASTER_SUFFIXES):
         raise NotImplementedError(f"cannot open {path!r}: rasters are read from {', '.join(RASTER_SUFFIXES)}")
     df = read_table(spark, path, fmt, **({"inferSchema": True} if path.endswith(".csv") else {}))
@@ -121,6 +159,26 @@ def read_raster(
     return Raster(df, spacing(xs) or spacing(ys) or 1.0, spacing(ys) or spacing(xs) or 1.0, kind, crs, cache_identifier)
 
 
+def _tiff(spark: SparkSession, path: str, band: int, preprocess, crs: str | None, kind: str, cache_identifier: str | None) -> Raster:
+    """Pixels of a GeoTIFF, made in an executor."""
+    head = GeoTiff(_bytes(spark, path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content"):
+                f = GeoTiff(data.as_py())
+                (x, y), values = f.coordinates, f.band(band)
+                step = max(1, 200_000 // f.width)
+                for i in range(0, f.height, step):
+                    v = values[i : i + step]
+                    columns = [np.tile(x, len(v)), np.repeat(y[i : i + step], f.width), v.ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2], mask=np.isnan(columns[2]))], ["x", "y", "value"])
+
+    df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "x double, y double, value double")
+    df = preprocess(df) if preprocess is not None else df
+    return Raster(df, *head.spacing, kind, head.crs if head.crs != "WGS84" else crs, cache_identifier)
+
+
 def pop_weights(spark: SparkSession, path: str, **options) -> Raster:
     return read_raster(spark, path, kind="pop", **options)
 

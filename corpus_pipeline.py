@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import documents, release, small, staged
+from terrapane.llm.common import documents, only_kept, release, small, staged
 from terrapane.llm.decontaminate import clean
 from terrapane.llm.mixing import mixed
 from terrapane.llm.near_duplicates import near_duplicates, text_node
@@ -80,10 +80,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  What a stage staged for itself goes once its result is written."""
     docs = documents(spark, sf_dir)
-    for i, (name, stage) in enumerate(STAGES):
-        before, docs = docs, stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = staged(docs, name)
+    for name, stage in STAGES[:-1]:
+        before = docs
+        with only_kept() as keep:
+            docs = keep(staged(stage(spark, docs, sf_dir), name))
         release(before)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -63,6 +63,21 @@ def release(df: DataFrame) -> None:
         _MADE[:] = [x for x in _MADE if x[1] != path]
 
 
+@contextmanager
+def only_kept() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Staged tables made inside go at its end, but for those given to the function it yields."""
+    before, kept = {path for _, path in _MADE}, set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._staged_path)
+        return df
+
+    yield keep
+    for spark, path in [x for x in _MADE if x[1] not in before | kept]:
+        _delete(spark, path)
+        _MADE.remove((spark, path))
+
+
 @atexit.register
 def _release_all() -> None:
     for spark, path in _MADE:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import Words, held_out, lower_ascii, pieces, release, staged, sums_by_text
+from terrapane.llm.common import Words, held_out, lower_ascii, only_kept, pieces, staged, sums_by_text
 
 END = np.uint64(0x5BD1E995ABCDEF01)
 WORD_KIND, GRAM_KIND = 0, 1
@@ -349,7 +349,8 @@ def score(
     table = staged(gathered.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = table.filter(F.col("kind") == WORD_KIND).select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).collect()[0]
-    grams = staged(window_scores(table.filter(F.col("kind") == GRAM_KIND).select("key", "n"), depth), "windows")
+    with only_kept() as keep:
+        grams = keep(staged(window_scores(table.filter(F.col("kind") == GRAM_KIND).select("key", "n"), depth), "windows"))
     *gram_head, least_gram = _head(grams, "value", most_windows)
     *word_head, least_word = _head(words, "n", most_words)
     shared = spark.sparkContext.broadcast((gram_head, word_head))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import SPACES, staged
+from terrapane.llm.common import SPACES, only_kept, staged
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -64,7 +64,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     target by half the words of one hash value at most.  Empty tables give no rows.
     """
     sized = _sized(docs, doc_id, source, text)
-    made, n = thresholds(sized, weights, cap)
+    with only_kept() as keep:
+        made, n = thresholds(sized, weights, cap)
+        keep(made)
     out = _copies(sized, made, n, cap).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
@@ -74,7 +76,9 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
 
     The texts aren't shuffled while there are at most BROADCAST_SOURCES sources.  Nulls and ties as in mix.
     """
-    made, n = thresholds(_sized(docs, doc_id, source, text), weights, cap)
+    with only_kept() as keep:
+        made, n = thresholds(_sized(docs, doc_id, source, text), weights, cap)
+        keep(made)
     named = docs.withColumns({"_h": hash36(doc_id, text), "_src": F.col(source)})
     out = _copies(named, made, n, cap, "_h", "_src", "_copies").filter("_copies > 0")
     return out.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)

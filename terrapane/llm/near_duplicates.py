@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapane.llm.common import Words, mix64, pieces, release, small, staged
+from terrapane.llm.common import Words, mix64, only_kept, pieces, release, small, staged
 
 #: Words of a k-mer, and for texts of at most SHORT words besides.
 WIDE, NARROW, SHORT = 3, 2, 32
@@ -399,19 +399,8 @@ def text_node(text: str) -> Column:
     return F.when(F.col(text).isNotNull(), F.xxhash64(F.col(text)))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, functions: int = FUNCTIONS) -> DataFrame:
-    """doc_id, text_key, class_id and kept of every row.
-
-    class_id is the class's smallest id, null if all of its ids are null.  kept holds for one row of each class: one
-    with that id, and among such rows the first as they stand in the table.  text_key is the text's 64-bit hash.
-    Texts are equal if these hashes are; other texts are compared by their words.  Empty texts are copies of each
-    other; texts of white space alone match only copies.  A null text is a class of its own, and so stays; its
-    class_id is its id.  An empty table gives no rows.
-    """
-    kind = docs.schema[doc_id].dataType.simpleString()
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("node", text_node("text"))
-    schema = f"doc_id {kind}, row long, node long, n long, {', '.join(f'{p} long' for p in _BITS)}, keys array<long>"
-    rows = staged(source.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "node", "text").mapInArrow(_sketch_rows(functions), schema), "sketches")
+def _classes(source: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """node, best (the struct of the class's least row) and rows (how many have the node) of the nodes in classes of several rows."""
     named = staged(rows.filter("n > 0").select("node", "n", *_BITS, "keys").dropDuplicates(["node"]), "nodes")
     about = named.select("node", "n", *_BITS)
     _, most_sql = _changes(similarity)
@@ -457,9 +446,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = nodes.groupBy("root").agg(F.min("least").alias("best"), F.count(F.lit(1)).alias("nodes"), F.sum("rows").alias("all")).filter("all > 1")
     total = rows.count()
     of_node = _looked_up(nodes.select("node", "root", F.col("rows").alias("copies")), classes.select("root", "best", F.col("nodes").alias("rows")), "root", total)
-    of_node = staged(of_node.filter("best IS NOT NULL").select("node", "best", F.col("copies").alias("rows")), "kept")
-    for x in [named, hubs, shared, pairs, links, mixed, members, sizes, worth, further, roots, nodes]:
-        release(x)
+    return staged(of_node.filter("best IS NOT NULL").select("node", "best", F.col("copies").alias("rows")), "kept")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, functions: int = FUNCTIONS) -> DataFrame:
+    """doc_id, text_key, class_id and kept of every row.
+
+    class_id is the class's smallest id, null if all of its ids are null.  kept holds for one row of each class: one
+    with that id, and among such rows the first as they stand in the table.  text_key is the text's 64-bit hash.
+    Texts are equal if these hashes are; other texts are compared by their words.  Empty texts are copies of each
+    other; texts of white space alone match only copies.  A null text is a class of its own, and so stays; its
+    class_id is its id.  An empty table gives no rows.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("node", text_node("text"))
+    schema = f"doc_id {kind}, row long, node long, n long, {', '.join(f'{p} long' for p in _BITS)}, keys array<long>"
+    rows = staged(source.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "node", "text").mapInArrow(_sketch_rows(functions), schema), "sketches")
+    with only_kept() as keep:
+        total, of_node = rows.count(), keep(_classes(source, rows, similarity))
     ids = rows.select("doc_id", "row", "node")
     null, known = ids.filter("node IS NULL").withColumn("best", F.lit(None).cast(of_node.schema["best"].dataType)), ids.filter("node IS NOT NULL")
     out = _looked_up(known, of_node, "node", total).unionByName(null)

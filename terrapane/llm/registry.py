@@ -15,12 +15,14 @@ def vocabulary_path(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_tokens and n_bytes of every document, by greedy longest pieces of a 50,000-piece byte vocabulary."""
     from terrapane.llm.token_counts import token_counts, vocabulary
 
     return token_counts(documents(spark, sf_dir), vocabulary(vocabulary_path("byte_bpe_50k.tiktoken")))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; `und` and 0 for a text that is null or has no letter."""
     from terrapane.llm.language_id import identify
     from terrapane.llm.token_counts import vocabulary
 
@@ -40,10 +42,12 @@ def tokens_written(docs: DataFrame) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files; a null text has its end token only."""
     return tokens_written(documents(spark, sf_dir))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base columns, base_failed and kept of every document; null and empty texts fail."""
     from terrapane.llm.quality_rules import quality_rules
 
     out = quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
@@ -51,30 +55,35 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document; a null source is one of its own, last in order."""
     from terrapane.llm.mixing import mix
 
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every document; a null text is an end alone."""
     from terrapane.llm.lm_scoring import score
 
     return score(documents(spark, sf_dir))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict and score of every page; a null URL has an empty host and path, and no rule."""
     from terrapane.llm.url_filter import judge
 
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; a null text scores as an empty one."""
     from terrapane.llm.quality_classifier import classify
 
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contaminated, items and matched of every document; null texts are clean."""
     from terrapane.llm.decontaminate import decontaminated
 
     out = decontaminated(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -82,6 +91,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and kept of every document; one row of a class is kept, and a null text is a class of its own."""
     from terrapane.llm.near_duplicates import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "kept")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapane.llm.common import Words, crc_mod, pieces, sums_by_text
+from terrapane.llm.tries import Packed, trie
 
 #: Bytes between scalings: sums of chances over so many bytes stay well within a double's range.
 STEP = 16
@@ -28,63 +29,17 @@ SHORT = 32
 
 
 class Pieces:
-    """The vocabulary as a trie in two arrays: node v goes on by byte b to v' = base[v] + b if owner[v'] is v; piece[v] is -1 where no piece ends.
-
-    The root is node 0.  Single bytes are pieces, whether the vocabulary has them or not.
-    """
+    """The vocabulary as a packed trie; piece[v] is -1 where no piece ends.  Single bytes are pieces, whether the vocabulary has them or not."""
 
     def __init__(self, vocab: list[bytes]):
-        children: list[dict[int, int]] = [{}]
-        ends: list[int] = [-1]
-        self.count = self.longest = 0
-        for p in dict.fromkeys([bytes([b]) for b in range(256)] + [p for p in vocab if p]):
-            at = 0
-            for b in p:
-                to = children[at].get(b)
-                if to is None:
-                    to = children[at][b] = len(children)
-                    children.append({})
-                    ends.append(-1)
-                at = to
-            ends[at] = self.count
-            self.count += 1
-            self.longest = max(self.longest, len(p))
-        # nodes with many children first, each at one of the first bases that are free for all its children, or else behind all others
-        size = 512 * (1 + sum(len(c) > 1 for c in children)) + 2 * len(children)
-        taken = bytearray(size)
-        taken[0] = 1
-        kids = {v: sorted(c) for v, c in enumerate(children) if c}
-        base_of: dict[int, int] = {}
-        free, last = 1, 0
-        for v in sorted(kids, key=lambda v: -len(kids[v])):
-            while taken[free]:
-                free += 1
-            low = max(1, free - kids[v][0])
-            if len(kids[v]) == 1:
-                while taken[low + kids[v][0]]:
-                    low += 1
-            else:
-                fits = (x for x in range(low, low + 30) if not any(taken[x + b] for b in kids[v]))
-                low = next(fits, max(1, last + 1 - kids[v][0]))
-            base_of[v] = low
-            for b in kids[v]:
-                taken[low + b] = 1
-            last = max(last, low + kids[v][-1])
-        self.base, self.owner, self.piece = (np.full(last + 512, -1, np.int32) for _ in range(3))
-        place = [0] * len(children)
-        for v, c in enumerate(children):  # parents stand before their children
-            self.piece[place[v]] = ends[v]
-            if v in base_of:
-                self.base[place[v]] = base_of[v]
-                for b, k in c.items():
-                    place[k] = base_of[v] + b
-                    self.owner[place[k]] = place[v]
+        pieces = list(dict.fromkeys([bytes([b]) for b in range(256)] + [p for p in vocab if p]))
+        self.count, self.longest = len(pieces), max(map(len, pieces))
+        children, ends = trie(pieces)
+        self.trie = Packed(children)
+        self.piece = self.trie.spread(ends)
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The next nodes, -1 where there is none."""
-        base = self.base[node]
-        to = np.maximum(base, 0) + byte
-        return np.where((base >= 0) & (self.owner[to] == node), to, -1)
+        return self.trie.step(node, byte)
 
     def spans(self, letter, i: int, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(end, rows, pieces) of the pieces that begin at byte i of words of so many bytes; letter(rows, j) is their byte j."""
@@ -237,12 +192,12 @@ def identify(docs: DataFrame, vocab: list[bytes], doc_id: str = "doc_id", text:
     held = F.coalesce(crc_mod("doc_id", mod) == remainder, F.lit(False))
     usable = source.filter(~held & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     langs, texts = _drawn(usable, rows_each)
-    names, trie = sorted(set(langs)), Pieces(vocab)
-    chance = learn(trie, *training_words(texts, langs, names)) if names else np.zeros((0, 0))
-    shared = spark.sparkContext.broadcast((trie, names, chance))
+    names, known = sorted(set(langs)), Pieces(vocab)
+    chance = learn(known, *training_words(texts, langs, names)) if names else np.zeros((0, 0))
+    shared = spark.sparkContext.broadcast((known, names, chance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, names, chance = shared.value
+        known, names, chance = shared.value
         for batch in pieces(batches, "text"):
             t = pc.utf8_lower(batch.column("text"))
             n = batch.num_rows
@@ -251,13 +206,13 @@ def identify(docs: DataFrame, vocab: list[bytes], doc_id: str = "doc_id", text:
             if names:
                 w = Words(t)
                 _, one, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
-                each = log_likelihoods(trie, chance, w.data, w.start[one], w.end[one])
+                each = log_likelihoods(known, chance, w.data, w.start[one], w.end[one])
                 total = sums_by_text(each[back], w.first) if len(back) else np.zeros((n, len(names)))
                 best = total.argmax(axis=1)
                 score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            known = letters & bool(names)
-            pred = [names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
+            said = letters & bool(names)
+            pred = [names[b] if k else "und" for b, k in zip(best.tolist(), said.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(np.where(said, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = source.select("doc_id", held.alias("held_out"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -3,15 +3,15 @@
 A word, with a space before it, is cut into word pieces greedily, the longest piece
 first.  The vocabulary is a trie.  Where it can't go on from a node, the pieces that
 greedy matching would have cut off by then are known beforehand, and so is the node
-that stands for what is left (the failure link).  Closing the trie over all bytes
-gives one table of next nodes and one of pieces popped; a word takes one look-up a
-byte, and no piece is ever built.  Distinct words of a slice run side by side.
+that stands for what is left (the failure link).  Each byte goes one node on, after
+as many links as it takes, and a link leads to a shorter rest, so a word's links are
+no more than its bytes; no piece is ever built.  Distinct words of a slice run side
+by side.  The trie is packed: a node takes some twenty bytes.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrapane.llm.common import Words, pieces, sums_by_text
+from terrapane.llm.tries import Packed, trie
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -29,98 +30,66 @@ def vocabulary(path: str) -> list[bytes]:
 
 
 class Automaton:
-    """next[node * 256 + byte], popped (the same index) and ended (pieces that the end of a word pops at a node).
+    """A packed trie with, for each node, link, cut (pieces that the link pops) and ended (pieces that the end of a word pops there).
 
     Every single byte is a piece, whether the vocabulary has it or not, so that every word can be cut.
     """
 
     def __init__(self, vocab: Iterable[bytes]):
-        children: list[dict[int, int]] = [{}]
-        token = [False]
-        depth = [0]
-        for piece in [bytes([b]) for b in range(256)] + [p for p in vocab if p]:
-            at = 0
-            for b in piece:
-                to = children[at].get(b)
-                if to is None:
-                    to = children[at][b] = len(children)
-                    children.append({})
-                    token.append(False)
-                    depth.append(depth[at] + 1)
-                at = to
-            token[at] = True
+        children, ends = trie([bytes([b]) for b in range(256)] + [p for p in vocab if p])
         n = len(children)
-        nxt = np.zeros((n, 256), np.int32)
-        popped = np.zeros((n, 256), np.uint16)
-        link = np.zeros(n, np.int32)
-        cut = np.zeros(n, np.int32)
-        order: list[list[tuple[int, int, int]]] = [[] for _ in range(max(depth) + 1)]
-        for v, kids in enumerate(children):
-            for b, c in kids.items():
-                order[depth[c]].append((v, b, c))
-        for b, c in children[0].items():
-            nxt[0, b] = c
-        for level in order[1:]:
-            parents, bytes_, nodes = (np.array(x, np.int64) for x in zip(*level, strict=True)) if level else (np.zeros(0, np.int64),) * 3
+        link, cut, ended = [0] * n, [0] * n, [0] * n
+        level = [(0, b, c) for b, c in children[0].items()]
+        while level:  # by depth: a link leads to a node less deep
             for v, b, c in level:
-                if token[c]:
-                    link[c], cut[c] = 0, 1
-                else:  # what the parent had popped, then on from its link
-                    link[c] = nxt[link[v], b]
-                    cut[c] = cut[v] + popped[link[v], b]
-            if len(nodes):
-                nxt[nodes] = nxt[link[nodes]]
-                popped[nodes] = popped[link[nodes]] + cut[nodes].astype(np.uint16)[:, None]
-                for c in nodes:
-                    for b, k in children[c].items():
-                        nxt[c, b], popped[c, b] = k, 0
-            del parents, bytes_
-        ended = np.zeros(n, np.int32)
-        for level in order[1:]:
-            for _, _, c in level:
+                if ends[c] >= 0:
+                    cut[c] = 1
+                else:  # what the parent's link has popped, then on from there by this byte
+                    at, popped = link[v], cut[v]
+                    while b not in children[at]:
+                        popped += cut[at]
+                        at = link[at]
+                    link[c], cut[c] = children[at][b], popped
                 ended[c] = cut[c] + ended[link[c]]
-        self.next, self.popped, self.ended = nxt.ravel(), popped.ravel(), ended
+            level = [(c, b, k) for _, _, c in level for b, k in children[c].items()]
+        self.trie = Packed(children)
+        self.link, self.cut, self.ended = self.trie.spread(self.trie.place[link]), self.trie.spread(cut), self.trie.spread(ended)
 
     def counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Pieces of each word data[start:end] with a space before it."""
         size = end - start
         order = np.argsort(-size, kind="stable")
         start, size = start[order], size[order]
-        node = np.full(len(order), int(self.next[32]), np.int64)
+        node = self.trie.step(np.zeros(len(order), np.int64), np.full(len(order), 32))
         found = np.zeros(len(order), np.int64)
         live = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")
         for i, k in enumerate(live):
-            at = node[:k] * 256 + data[start[:k] + i]
-            found[:k] += self.popped[at]
-            node[:k] = self.next[at]
+            byte = data[start[:k] + i].astype(np.int64)
+            to = self.trie.step(node[:k], byte)
+            stuck = np.flatnonzero(to < 0)
+            while len(stuck):
+                at = node[stuck]
+                found[stuck] += self.cut[at]
+                node[stuck] = at = self.link[at]
+                to[stuck] = self.trie.step(at, byte[stuck])
+                stuck = stuck[to[stuck] < 0]
+            node[:k] = to
         out = np.empty(len(order), np.int64)
         out[order] = found + self.ended[node]
         return out
 
 
-_built: dict[str, Automaton] = {}
-
-
-def automaton(vocab: list[bytes]) -> Automaton:
-    """Built once in a process."""
-    key = hashlib.sha1(b"\0".join(vocab)).hexdigest()
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(vocab)
-    return _built[key]
-
-
 def token_counts(docs: DataFrame, vocab: list[bytes], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, n_tokens and n_bytes of every row; no words and no tokens for a null or empty text.
 
     Words are runs of anything but ASCII white space.  Ids may be null or repeat; other columns aren't read.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vocab)
+    shared = spark.sparkContext.broadcast(Automaton(vocab))
     kind = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(shared.value)
+        a = shared.value
         for batch in pieces(batches, "text"):
             w = Words(batch.column("text"))
             _, one, back = np.unique(w.hashes(), return_index=True, return_inverse=True)

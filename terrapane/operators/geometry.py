@@ -12,7 +12,7 @@ import math
 import re
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Ring = list[tuple[float, float]]
@@ -147,8 +147,10 @@ def covered(cells: DataFrame, edges: DataFrame, origin: float, res_lon: float) -
     column = lambda x: F.floor((x - origin) / res_lon).cast("long")
     c = cells.select("cell_id", "x0", "x1", "y0", "y1", column((F.col("x0") + F.col("x1")) / 2).alias("col"))
     lowest, highest = F.least("xa", "xb"), F.greatest("xa", "xb")
-    spread = edges.filter("xa <> xb").withColumn("col", F.explode(F.sequence(column(lowest), column(highest))))
-    met = spread.join(c, "col").filter((lowest < F.col("x1")) & (highest > F.col("x0")) & (F.greatest("ya", "yb") > F.col("y0")))
+    # below its ring's lowest point an edge's contributions cancel: a county meets its own rows of a global grid, not all rows south of it
+    floor = F.min(F.least("ya", "yb")).over(Window.partitionBy("region_idx", "part", "ring"))
+    spread = edges.withColumn("floor", floor).filter("xa <> xb").withColumn("col", F.explode(F.sequence(column(lowest), column(highest))))
+    met = spread.join(c, "col").filter((lowest < F.col("x1")) & (highest > F.col("x0")) & (F.greatest("ya", "yb") > F.col("y0")) & (F.col("floor") < F.col("y1")))
     part = met.withColumn("area", _under(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1")))
     size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     rings = part.groupBy("region_idx", "part", "ring", "cell_id").agg(F.abs(F.sum(F.col("area") / size)).alias("a"))

@@ -114,6 +114,13 @@ def sine_degrees(lo: Column, hi: Column, avg: Column, t: Thresholds) -> Column:
     return sine_heating(lo, hi, avg, t.high) - sine_heating(lo, hi, avg, t.low)
 
 
+def sine_share(lo: Column, hi: Column, threshold: float) -> Column:
+    """The share of a day above a threshold, if its temperature follows a sine from lo to hi."""
+    th = F.lit(float(threshold))
+    between = F.acos(F.try_divide(F.lit(2.0) * th - hi - lo, hi - lo)) / math.pi
+    return F.when(th <= lo, 1.0).when(th < hi, between).when(th >= hi, 0.0)
+
+
 def share_inside(v: Column, t: Thresholds) -> Column:
     """An aggregate: the share of samples strictly between the thresholds."""
     return F.avg(F.when(inside(v, t), F.lit(1.0)).otherwise(F.lit(0.0)))

@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrapane.functions.reducers import sine_share
+from terrapane.functions.sql import register
 from terrapane.functions.transforms import resolve
 from terrapane.operators.grid import Grid, clip_to_grid, era5_land, rescale_longitude, spacing, time_parts
 from terrapane.operators.regions import problems, regions_from_df
@@ -261,6 +263,23 @@ def q_years(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet").select(F.year("l_shipdate").alias("year")).filter(F.col("year").isin(years)).groupBy("year").agg(F.count(F.lit(1)).alias("n"))
 
 
+DAYS = f"SELECT cell_id, {LABEL['date']} AS time, min(v) AS lo, max(v) AS hi FROM (WITH c AS ({E}) SELECT * FROM c) GROUP BY 1, 2"
+
+
+@query(f"SELECT cell_id, time, round(CASE WHEN 40 <= lo THEN 1 WHEN 40 < hi THEN acos((80 - hi - lo) / (hi - lo)) / pi() ELSE 0 END, 6) AS x FROM ({DAYS})")
+def t_sine_share(spark: SparkSession, d: str) -> DataFrame:
+    days = aggregate_time(cube_e(spark, d), {"lo": [agg("min", "date")], "hi": [agg("max", "date")]})
+    return rounded(days.select("cell_id", "time", sine_share(F.col("lo"), F.col("hi"), 40).alias("x")))
+
+
+@query(f"SELECT cell_id, round(CASE WHEN longitude < 0 THEN longitude + 360 ELSE longitude END, 6) AS lon, round(cos(radians(latitude)), 6) AS w, round(value - 273.15, 6) AS c, round(CASE WHEN value > 20 AND value < 60 THEN value - 20 ELSE 0 END, 6) AS d FROM ({PLACED})")
+def x_sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The same functions in SQL, over a view."""
+    register(spark)
+    placed(spark.read.parquet(f"{d}/events.parquet")).createOrReplaceTempView("placed_events")
+    return rounded(spark.sql("SELECT user_id AS cell_id, lon_to_360(lon) AS lon, cell_weight(lat) AS w, kelvin_to_celsius(value) AS c, degrees_above(value, 20, 60) AS d FROM placed_events"))
+
+
 # Weights
 
 

@@ -187,11 +187,13 @@ def r_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _geojson(spark: SparkSession, d: str) -> str:
-    """Nations as boxes two cells of the lattice wide, in a GeoJSON file."""
+    """Nations as boxes two cells of the lattice wide and as high as it, however many users there are, in a GeoJSON file."""
+    last = spark.read.parquet(f"{d}/events.parquet").agg(F.max("user_id")).first()[0] or 0
+    n = max(40, 6 + last // 50)  # half a cell above the last row's upper edge
     features = []
     for r in spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect():
         w = -20.375 + 1.5 * r["n_nationkey"]
-        ring = [[w, 0], [w, 40], [w + 1.5, 40], [w + 1.5, 0], [w, 0]]
+        ring = [[w, 0], [w, n], [w + 1.5, n], [w + 1.5, 0], [w, 0]]
         features.append({"type": "Feature", "properties": {"n_name": r["n_name"], "k": r["n_nationkey"]}, "geometry": {"type": "Polygon", "coordinates": [ring]}})
     text = json.dumps({"type": "FeatureCollection", "features": features})
     path = f"{scratch(spark)}/nations.geojson"

@@ -55,8 +55,18 @@ def inside(v: Column, t: Thresholds) -> Column:
     return (v > t.low) & (v < t.high)
 
 
-def aggregates(calc: str, v: Column, t: Thresholds | None, name: str) -> dict[str, Column]:
-    """Aggregate columns by name for one output."""
+def ordered_mean(v: Column, time: Column) -> Column:
+    """An aggregate: the mean of the samples, added one after another in order of time, so that its last bit is always the same."""
+    samples = F.array_sort(F.collect_list(F.when(v.isNotNull(), F.struct(time.alias("t"), v.cast("double").alias("v")))))
+    return F.try_divide(F.aggregate(samples, F.lit(0.0), lambda a, s: a + s["v"]), F.count(v))
+
+
+def aggregates(calc: str, v: Column, t: Thresholds | None, name: str, time: Column, samples: str) -> dict[str, Column]:
+    """Aggregate columns by name for one output; samples: a name for what all outputs of the same samples share.
+
+    Degrees below a threshold are NULL or not by the last bit of the mean where it lies on the edge of what a sine can
+    have; partial sums would add in an order that hangs on the scan's splits, so sine_dd from above takes samples by time.
+    """
     if calc not in CALCS:
         raise ValueError(f"calc {calc!r} is not one of {', '.join(CALCS)}")
     if calc in THRESHOLD_CALCS and t is None:
@@ -73,19 +83,20 @@ def aggregates(calc: str, v: Column, t: Thresholds | None, name: str) -> dict[st
         return count | {f"{name}__a": F.sum(F.when(inside(v, t), F.abs(v - F.lit(float(from_)))).otherwise(F.lit(0.0)))}
     if calc == "bins":
         return count | {f"{name}__a": F.sum(F.when(inside(v, t), F.lit(1.0)).otherwise(F.lit(0.0)))}
-    return count | {f"{name}__lo": F.min(v), f"{name}__hi": F.max(v), f"{name}__a": F.avg(v)}
+    mean = {f"{name}__a": F.avg(v)} if t.base == 0 else {f"{samples}__m": ordered_mean(v, time)}
+    return count | {f"{name}__lo": F.min(v), f"{name}__hi": F.max(v)} | mean
 
 
-def result(calc: str, t: Thresholds | None, name: str, expected: Column) -> Column:
+def result(calc: str, t: Thresholds | None, name: str, expected: Column, samples: str) -> Column:
     """The output from the aggregate columns.  expected: how many samples the window should have; 0 for an empty one."""
     whole = (F.col(f"{name}__c") == expected) & (expected > 0)
-    value = F.col(f"{name}__a")
+    value = F.col(f"{samples}__m" if calc == "sine_dd" and t.base == 1 else f"{name}__a")
     if calc == "nanmean":
         return value
     if calc == "bins":
         return F.when(expected > 0, value)
     if calc == "sine_dd":
-        value = sine_degrees(F.col(f"{name}__lo"), F.col(f"{name}__hi"), F.col(f"{name}__a"), t)
+        value = sine_degrees(F.col(f"{name}__lo"), F.col(f"{name}__hi"), value, t)
     return F.when(whole, value)
 
 

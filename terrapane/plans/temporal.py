@@ -125,18 +125,18 @@ class TimeStage:
                     what = (column, step.calc, t)
                     if what not in known:
                         known[what] = f"r{len(known)}"
-                        made |= aggregates(step.calc, F.col(column), t, known[what])
-                        results[known[what]] = (step.calc, t)
+                        made |= aggregates(step.calc, F.col(column), t, known[what], F.col("n__time"), column)
+                        results[known[what]] = (step.calc, t, column)
                     outputs.append((name, known[what]))
             item.outputs = outputs
-        rows = table.df.withColumn("time", self.label(F.col("time"), frequency))
+        rows = table.df.withColumns({"time": self.label(F.col("time"), frequency), "n__time": F.col("time")})
         grouped = rows.groupBy("cell_id", "time").agg(F.count(F.lit(1)).alias("n__rows"), *[c.alias(n) for n, c in made.items()])
         expected = F.col("n__rows")
         if self.missing == "dense":
             # a row for each period: there are fewer than four million dates from the year 1 to 9999
             grouped = grouped.join(F.broadcast(self.axis(table, frequency)), "time")
             expected = F.col("n__expected")
-        df = grouped.select("cell_id", "time", *[result(calc, t, n, expected).alias(n) for n, (calc, t) in results.items()])
+        df = grouped.select("cell_id", "time", *[result(calc, t, n, expected, samples).alias(n) for n, (calc, t, samples) in results.items()])
         return _Table(df, frequency)
 
     def axis(self, table: _Table, frequency: str) -> DataFrame:

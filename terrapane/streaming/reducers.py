@@ -15,5 +15,5 @@ def reduce_stream(stream: DataFrame, calc: str, thresholds: Thresholds | None =
     """cell_id, time (the period's first day) and the reduced value, in append mode."""
     v = F.col("value")
     windows = stream.withWatermark("time", delay).groupBy("cell_id", F.window("time", f"{days} days").alias("w"))
-    made = windows.agg(F.count(F.lit(1)).alias("n__rows"), *[c.alias(n) for n, c in aggregates(calc, v, thresholds, "r").items()])
-    return made.select("cell_id", F.to_date("w.start").alias("time"), result(calc, thresholds, "r", F.col("n__rows")).alias(name))
+    made = windows.agg(F.count(F.lit(1)).alias("n__rows"), *[c.alias(n) for n, c in aggregates(calc, v, thresholds, "r", F.col("time"), "r").items()])
+    return made.select("cell_id", F.to_date("w.start").alias("time"), result(calc, thresholds, "r", F.col("n__rows"), "r").alias(name))

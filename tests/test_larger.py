@@ -42,3 +42,26 @@ def test_run_config_takes_all_users(spark, folder):
     got, want = both(spark, d, con, "p_run_config", ["n_name", "time"])
     assert len(want) == 50 and got.keys() == want.keys()
     assert all(abs(got[k][0] - want[k][0]) < 2e-6 for k in want)
+
+
+#: Samples of a day whose mean lies on the edge of what a sine can have, at 20 and 60 degrees: added in order of time or
+#: in two halves, the last bit says otherwise.
+EDGES = [
+    [55.52, 55.76, 18.67, 24.23], [92.73, 13.4, 43.71, 88.82], [19.53, 70.66, 98.42, 49.17], [86.22, 0.58, 111.18, 103.22],
+    [44.56, 130.41, 128.05, 108.68], [135.76, 128.01, 51.71, 92.62], [116.91, 43.77, 121.78, 113.56], [58.4, 131.42, 77.65, 118.57],
+]
+
+
+def halved(samples):
+    """Rows of users and their four samples of a day: a file with all first halves, a file with all second ones."""
+    began = datetime(2024, 1, 1)
+    return [(u, began + timedelta(hours=k), s[k]) for half in ((0, 1), (2, 3)) for u, s in enumerate(samples) for k in half]
+
+
+def test_sine_hdd_adds_in_order_of_time(spark, folder):
+    """Whatever way the scan is split, what the SQL says on one thread, which adds in the file's order."""
+    d, con = folder(halved(EDGES), files=2)
+    got, want = both(spark, d, con, "t_sine_hdd", ["cell_id", "time"])
+    assert len(want) == len(EDGES) and {v is None for (v,) in want.values()} == {True, False}
+    assert {k: v[0] is None for k, v in got.items()} == {k: v[0] is None for k, v in want.items()}
+    assert all(got[k][0] is None or abs(got[k][0] - want[k][0]) < 2e-6 for k in want)

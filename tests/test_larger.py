@@ -65,3 +65,25 @@ def test_sine_hdd_adds_in_order_of_time(spark, folder):
     assert len(want) == len(EDGES) and {v is None for (v,) in want.values()} == {True, False}
     assert {k: v[0] is None for k, v in got.items()} == {k: v[0] is None for k, v in want.items()}
     assert all(got[k][0] is None or abs(got[k][0] - want[k][0]) < 2e-6 for k in want)
+
+
+def test_sine_multi_adds_in_order_of_time(spark, folder):
+    """So do several pairs of thresholds at once, those measured from the upper one at 20 and 40 degrees."""
+    forty = [[31.25, 87.8, 85.34, 68.71], [38.38, 74.5, 57.54, 61.82], [31.9, 104.28, 148.45, 108.47], [121.53, 105.13, 34.06, 74.22]]
+    d, con = folder(halved(EDGES[:4] + forty), files=2)
+    got, want = both(spark, d, con, "t_sine_multi", ["cell_id", "time"])
+    assert len(want) == 8 and {v[2] is None for v in want.values()} == {True, False}
+    nulls = lambda rows: {k: [x is None for x in v] for k, v in rows.items()}
+    assert nulls(got) == nulls(want)
+    assert all(x is None or abs(x - y) < 2e-6 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_sine_thresholds_share_the_ordered_sum(spark):
+    """Two pairs measured from the upper threshold collect the samples once; one from the lower collects none."""
+    from terrapane.plans.temporal import aggregate_time
+    from terrapane.queries import agg
+
+    cube = spark.range(6).selectExpr("0L AS cell_id", "timestamp_seconds(3600 * id) AS time", "10.0D * id AS value")
+    plan = lambda *t: aggregate_time(cube, {"x": [agg("sine_dd", "date", [list(x) for x in t])]})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan((20, 40, 1), (10, 30, 1)).count("collect_list(") == 1
+    assert "collect_list(" not in plan((20, 40, 0))

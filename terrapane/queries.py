@@ -61,8 +61,8 @@ def cube_l(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Sums in another order differ in their last bits."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Sums in another order differ in their last bits.  What rounds to zero from below is -0.0, as in SQL."""
+    return df.select(*[(F.abs(F.round(c, digits)) * F.signum(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def by_time(cube: Callable[..., DataFrame], missing: str = "sparse", nulls: bool = False, **spec) -> Query:

@@ -87,3 +87,24 @@ def test_sine_thresholds_share_the_ordered_sum(spark):
     plan = lambda *t: aggregate_time(cube, {"x": [agg("sine_dd", "date", [list(x) for x in t])]})._jdf.queryExecution().optimizedPlan().toString()
     assert plan((20, 40, 1), (10, 30, 1)).count("collect_list(") == 1
     assert "collect_list(" not in plan((20, 40, 0))
+
+
+def test_sine_rounds_to_zero_with_its_sign(spark, folder):
+    """Degrees between 30 and 80, and between 20 and 60, that round to zero from below are -0.0, as SQL's are."""
+    began = datetime(2024, 1, 1)
+    days = [[15.0, 0.18, 30.06], [16.84, 30.06, 3.86], [20.01, 18.45, 19.21], [10.0, 12.0, 14.0], [30.0, 45.5, 61.2]]
+    d, con = folder([(u, began + timedelta(hours=k), v) for u, day in enumerate(days) for k, v in enumerate(day)])
+    for name in ("t_sine_multi", "t_sine_cdd"):
+        got, want = both(spark, d, con, name, ["cell_id", "time"])
+        assert "-0.0" in {str(x) for v in want.values() for x in v} and "0.0" in {str(x) for v in want.values() for x in v}
+        assert {k: [str(x) for x in v] for k, v in got.items()} == {k: [str(x) for x in v] for k, v in want.items()}
+
+
+def test_rounding_keeps_what_has_no_sign(spark):
+    """NULL, NaN, infinities and both zeros pass through the queries' rounding."""
+    from terrapane.queries import rounded
+
+    values = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, -4e-7, 4e-7, -1.23456789, 5e-7]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = [str(r["x"]) for r in rounded(df).orderBy("i").collect()]
+    assert got == ["None", "nan", "inf", "-inf", "0.0", "-0.0", "-0.0", "0.0", "-1.234568", "1e-06"]
